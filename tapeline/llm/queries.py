@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeline.llm import bpe, matroska, minhash, mixing, warc
+from tapeline.llm import bpe, langid, matroska, minhash, mixing, quality, warc
 from tapeline.llm.common import read_table, written
 
 
@@ -26,6 +26,14 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(mixing.mix(read_table(spark, sf_dir, "documents")))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_documents(read_table(spark, sf_dir, "documents")).drop("content")
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")).drop("content")
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(read_table(spark, sf_dir, "documents"), k=3, threshold=(85, 100))
     return found.select("doc_id", "n_shingles", "component_id", "kept", "class_size")
@@ -42,7 +50,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_byte_bpe": op1_byte_bpe, "op3_source_mixing": op3_source_mixing, "op7_minhash": op7_minhash, "op8_matroska": op8_matroska, "op9_warc": op9_warc}
+    return {"op1_byte_bpe": op1_byte_bpe, "op3_source_mixing": op3_source_mixing, "op4_language_id": op4_language_id, "op6_quality_classifier": op6_quality_classifier, "op7_minhash": op7_minhash, "op8_matroska": op8_matroska, "op9_warc": op9_warc}
 
 
 def oracle_sql() -> dict[str, str]:
