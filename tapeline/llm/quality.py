@@ -56,7 +56,7 @@ def strength(mean: Column, prior: Column, n: Column) -> Column:
     return F.least(F.greatest(F.coalesce(F.avg(prior * (1 - prior)) / between - 1, F.lit(STRONGEST)), F.lit(WEAKEST)), F.lit(STRONGEST))
 
 
-def classify(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "text", site: str = "source", label: str = "quality", least: float = 0.5, sample: int = SAMPLE) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "text", site: str = "source", label: str = "quality", least: float = 0.35, sample: int = SAMPLE) -> DataFrame:
     """One row per document: doc_id, content, host, path, doc_probability, host_posterior, path_posterior, quality_probability, kept."""
     host, path = F.substring_index(F.coalesce(F.col(site), F.lit("")), "/", 1), F.regexp_extract(F.coalesce(F.col(site), F.lit("")), r"^[^/]*/([^/?#]*)", 1)
     rows = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), host.alias("host"), path.alias("path"))

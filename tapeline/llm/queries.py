@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeline.llm import bpe, langid, matroska, minhash, mixing, quality, warc
+from tapeline.llm import bpe, langid, matroska, minhash, mixing, pii, quality, urls, warc
 from tapeline.llm.common import read_table, written
 
 
@@ -22,6 +22,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read_table(spark, sf_dir, "documents").select("doc_id", "text"), *_tokenizer(), digests_only=True)
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(read_table(spark, sf_dir, "pages"))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(mixing.mix(read_table(spark, sf_dir, "documents")))
 
@@ -49,8 +53,12 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(archives).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "archive", "offset", "stored_bytes")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find(read_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_byte_bpe": op1_byte_bpe, "op3_source_mixing": op3_source_mixing, "op4_language_id": op4_language_id, "op6_quality_classifier": op6_quality_classifier, "op7_minhash": op7_minhash, "op8_matroska": op8_matroska, "op9_warc": op9_warc}
+    return {"op1_byte_bpe": op1_byte_bpe, "op2_url_filter": op2_url_filter, "op3_source_mixing": op3_source_mixing, "op4_language_id": op4_language_id, "op6_quality_classifier": op6_quality_classifier, "op7_minhash": op7_minhash, "op8_matroska": op8_matroska, "op9_warc": op9_warc, "op10_pii": op10_pii}
 
 
 def oracle_sql() -> dict[str, str]:
