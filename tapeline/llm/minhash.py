@@ -193,3 +193,11 @@ def _verified(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, k: int, num:
     sets = written(texts.mapInArrow(partial(_sets, k=k), "node binary, shingles binary"), "minhash-sets").dropDuplicates(["node"])
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
     return both.select("u", "v", "a", "b").mapInArrow(partial(_links, num=num, den=den), "u binary, v binary")
+
+
+def keep_one_each(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100), ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one document of each group, the one with the least id; rows that repeat its id and text are dropped too."""
+    stays = near_duplicates(docs, k, threshold, ident, text).where("kept").select(F.col("doc_id").alias("__d"), F.col("content").alias("__c")).distinct()
+    own = docs.withColumn("__content", row_key(text)).join(stays, F.col(ident).cast("long").eqNullSafe(F.col("__d")) & (F.col("__content") == F.col("__c")))
+    nth = F.row_number().over(Window.partitionBy("__d", "__c").orderBy("__c"))
+    return own.withColumn("__nth", nth).where("__nth = 1").select(*docs.columns)

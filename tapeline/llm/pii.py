@@ -154,8 +154,10 @@ def sanitised(text: Column, spans: Column) -> Column:
 
 
 def sanitise(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with the text sanitised; every other column, and every row without spans, as it was."""
+    """docs with the text sanitised, and n_chars, if there, with it; every other column, and every row without spans, as it was."""
     spans = find(docs, ident, text).where(F.size("spans") > 0).select(F.col("doc_id").alias("__d"), F.col("content").alias("__c"), F.col("spans").alias("__spans")).dropDuplicates(["__d", "__c"])
     joined = docs.withColumn("__content", row_key(text)).join(spans, F.col(ident).eqNullSafe(F.col("__d")) & (F.col("__content") == F.col("__c")), "left")
     new = F.when(F.col("__spans").isNull(), F.col(text)).otherwise(sanitised(F.col(text), F.col("__spans")))
-    return joined.select(*[new.alias(c) if c == text else F.col(c) for c in docs.columns])
+    joined = joined.withColumn("__new", new)
+    length = F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("__new").cast("long")) if "n_chars" in docs.columns else None
+    return joined.select(*[F.col("__new").alias(c) if c == text else length.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])

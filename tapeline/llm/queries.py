@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeline.llm import bpe, langid, matroska, minhash, mixing, pii, quality, urls, warc
+from tapeline.llm import bpe, langid, matroska, minhash, mixing, pii, quality, rules, urls, warc
 from tapeline.llm.common import read_table, written
 
 
@@ -34,6 +34,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_documents(read_table(spark, sf_dir, "documents")).drop("content")
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")).drop("content")
 
@@ -58,7 +62,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_byte_bpe": op1_byte_bpe, "op2_url_filter": op2_url_filter, "op3_source_mixing": op3_source_mixing, "op4_language_id": op4_language_id, "op6_quality_classifier": op6_quality_classifier, "op7_minhash": op7_minhash, "op8_matroska": op8_matroska, "op9_warc": op9_warc, "op10_pii": op10_pii}
+    return {"op1_byte_bpe": op1_byte_bpe, "op2_url_filter": op2_url_filter, "op3_source_mixing": op3_source_mixing, "op4_language_id": op4_language_id, "op5_quality_rules": op5_quality_rules, "op6_quality_classifier": op6_quality_classifier, "op7_minhash": op7_minhash, "op8_matroska": op8_matroska, "op9_warc": op9_warc, "op10_pii": op10_pii}
 
 
 def oracle_sql() -> dict[str, str]:
