@@ -29,7 +29,7 @@ def bars_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bars_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ohlc(table(spark, sf_dir, "events"), "event_type", "date_trunc('hour', ts)", "value", "event_id", "1L")
+    return ohlc(table(spark, sf_dir, "events"), "event_type", "cast(date_trunc('hour', ts) as timestamp_ntz)", "value", "event_id", "1L")
 
 
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
