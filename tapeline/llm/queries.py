@@ -65,5 +65,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_byte_bpe": op1_byte_bpe, "op2_url_filter": op2_url_filter, "op3_source_mixing": op3_source_mixing, "op4_language_id": op4_language_id, "op5_quality_rules": op5_quality_rules, "op6_quality_classifier": op6_quality_classifier, "op7_minhash": op7_minhash, "op8_matroska": op8_matroska, "op9_warc": op9_warc, "op10_pii": op10_pii}
 
 
+#: Shingles, links by counted overlaps, and their closure; copies are counted by equal sets.
+NEAR_DUPLICATES = r"""
+with recursive words as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+sets as (select doc_id, list_sort(list_distinct(case when len(ws) = 0 then [] when len(ws) < 3 then [array_to_string(ws, ' ')] else list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) end)) as sh from words),
+grams as (select doc_id, len(sh) as n, unnest(sh) as g from sets),
+pairs as (select x.doc_id as a, y.doc_id as b, any_value(x.n) as n_a, any_value(y.n) as n_b, count(*) as c from grams x join grams y on x.g = y.g and x.doc_id <> y.doc_id group by 1, 2),
+links as (select a, b from pairs where 100 * c >= 85 * (n_a + n_b - c)),
+reach as (select doc_id as d, doc_id as r from sets union select reach.d, links.b from reach join links on links.a = reach.r),
+least_of as (select d, min(r) as component_id from reach group by d)
+select s.doc_id, cast(len(sh) as bigint) as n_shingles, component_id, s.doc_id = component_id as kept, case when len(sh) = 0 then 1 else count(*) over (partition by sh) end as class_size
+from sets s join least_of on d = s.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The other operators fit models, schedules or byte formats; their tests use brute force and round trips."""
+    return {"op7_minhash": NEAR_DUPLICATES}
