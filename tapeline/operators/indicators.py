@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 from tapeline.functions.scalars import exact_round, finite, missing_if_nan, snap_round
 
 MIN_BARS, YEAR_BARS = 60, 252
-BY_DATE = Window.partitionBy("ticker").orderBy("bar_date")
+
+
+def by_date():
+    """Rows of a ticker by date."""
+    return Window.partitionBy("ticker").orderBy("bar_date")
 
 
 def rolling_mean(x: Column, n: int) -> Column:
     """Mean of the last n rows; null unless all n are there."""
-    w = BY_DATE.rowsBetween(1 - n, 0)
+    w = by_date().rowsBetween(1 - n, 0)
     return F.when(F.count(x).over(w) == n, F.avg(x).over(w))
 
 
@@ -27,13 +31,13 @@ def sma(bars: DataFrame, *windows: int) -> DataFrame:
 
 def rsi(bars: DataFrame, n: int = 14) -> DataFrame:
     """Simple means of gains and losses; the first row's change counts as none."""
-    moved = clean_bars(bars).withColumn("change", F.col("close") - F.lag("close").over(BY_DATE))
+    moved = clean_bars(bars).withColumn("change", F.col("close") - F.lag("close").over(by_date()))
     gain, loss = (rolling_mean(F.when(c > 0, c).otherwise(0.0), n) for c in (F.col("change"), -F.col("change")))
     return moved.select("ticker", "bar_date", (100 - 100 / (1 + gain / (loss + 1e-9))).alias(f"rsi_{n}"))
 
 
 def true_range() -> Column:
-    before = F.lag("close").over(BY_DATE)
+    before = F.lag("close").over(by_date())
     return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
 
 
@@ -42,14 +46,14 @@ def atr(bars: DataFrame, n: int = 14) -> DataFrame:
 
 
 def year_range(bars: DataFrame) -> DataFrame:
-    w = BY_DATE.rowsBetween(1 - YEAR_BARS, 0)
+    w = by_date().rowsBetween(1 - YEAR_BARS, 0)
     return clean_bars(bars).select("ticker", "bar_date", F.max("high").over(w).alias("52w_high"), F.min("low").over(w).alias("52w_low"))
 
 
 def latest(bars: DataFrame) -> DataFrame:
     """All indicators at each ticker's last bar, unrounded, with the number of bars."""
-    w = BY_DATE.rowsBetween(1 - YEAR_BARS, 0)
-    one = clean_bars(bars).withColumns({"change": F.col("close") - F.lag("close").over(BY_DATE), "range": true_range(), "nth": F.row_number().over(BY_DATE), "next": F.lead("bar_date").over(BY_DATE)})
+    w = by_date().rowsBetween(1 - YEAR_BARS, 0)
+    one = clean_bars(bars).withColumns({"change": F.col("close") - F.lag("close").over(by_date()), "range": true_range(), "nth": F.row_number().over(by_date()), "next": F.lead("bar_date").over(by_date())})
     gain, loss = (rolling_mean(F.when(c > 0, c).otherwise(0.0), 14) for c in (F.col("change"), -F.col("change")))
     every = one.select(
         "ticker", "bar_date", "close", "volume", "nth", "next", rolling_mean(F.col("close"), 20).alias("sma_20"), rolling_mean(F.col("close"), 50).alias("sma_50"),
