@@ -17,14 +17,22 @@ BITS, PART = 15, 1 << 20
 
 
 def gram_buckets(text: str | None, fold: bool) -> np.ndarray:
-    """Buckets of all byte trigrams; texts of one or two bytes are padded with zeros; none for an empty text."""
+    """Buckets of all byte trigrams; texts of one or two bytes are padded with zeros; none for an empty text.
+
+    fold: A-Z as a-z, and no trigram with a digit, as for languages.
+    """
     data = (text or "").encode("utf-8")
     if fold:
         data = data.lower()
     if not data:
         return np.empty(0, np.uint32)
     b = np.frombuffer(data.ljust(3, b"\0"), np.uint8).astype(np.uint32)
-    return (b[:-2] * np.uint32(0x1F123BB5) + b[1:-1] * np.uint32(0x5BD1E995) + b[2:] * np.uint32(0x27D4EB2F)) >> np.uint32(32 - BITS)
+    out = (b[:-2] * np.uint32(0x1F123BB5) + b[1:-1] * np.uint32(0x5BD1E995) + b[2:] * np.uint32(0x27D4EB2F)) >> np.uint32(32 - BITS)
+    if fold:
+        digit = b - np.uint32(48) < 10
+        if digit.any():
+            out = out[~(digit[:-2] | digit[1:-1] | digit[2:])]
+    return out
 
 
 def _count(batches: Iterator[pa.RecordBatch], classes: list[str], fold: bool) -> Iterator[pa.RecordBatch]:

@@ -1,12 +1,13 @@
 """Language ID by Bayesian evidence fusion.
 
-Text: mean log-likelihood of byte trigrams per language, counted over every text with a declared language, as if of
-at most EFFECTIVE independent trigrams; a uniform model over buckets stands for no known language (`und`). Declared
+Text: mean log-likelihood of byte trigrams without digits per language, counted over every text with a declared language, as if of
+at most EFFECTIVE independent trigrams; a uniform model over buckets, less a margin, stands for no known language (`und`).
+Numbers and keys in a short text thus don't make it unknown. Declared
 language: its probability given the language, from soft counts over the corpus. Address: the prior over languages
 of a host, shrunk to that of its address suffix, and that to the corpus's, all from soft counts by grouped
 aggregation. The posterior multiplies the three.
 
-Cases: a null or empty text has flat text evidence and is rejected. A null declaration, host or suffix is a value of
+Cases: a null or empty text, or one of digits, has flat text evidence and is rejected. A null declaration, host or suffix is a value of
 its own. A declaration outside the MOST_LANGUAGES commonest is `other`. Texts in no known language come out as
 `und` and are rejected, as are those whose best posterior is under `least`. Repeated rows are judged alike. An
 empty table, or one without declarations, knows no language, so its rows are `und`. Other columns are not looked at.
@@ -23,8 +24,9 @@ from pyspark.sql import functions as F
 from tapeline.llm.common import log_softmax, row_key, written
 from tapeline.llm.grams import BITS, class_log_probabilities, scored
 
-#: Languages at most; trigrams that count as independent; strengths of the suffix's and the host's prior.
-MOST_LANGUAGES, EFFECTIVE, SUFFIX_STRENGTH, HOST_STRENGTH = 64, 60, 20.0, 20.0
+#: Languages at most; trigrams that count as independent; strengths of the suffix's and the host's prior; by how much a text
+#: must fit worse than chance, in nats per trigram, before no known language is likelier.
+MOST_LANGUAGES, EFFECTIVE, SUFFIX_STRENGTH, HOST_STRENGTH, UND_MARGIN = 64, 60, 20.0, 20.0, 1.0
 
 
 def html_language(html: Column) -> Column:
@@ -53,13 +55,13 @@ def identify(docs: DataFrame, ident: Column, text: Column, declared: Column, hos
     languages = sorted(r["declared"] for r in found)
     if not languages:
         return rows.select("doc_id", "content", "declared", F.lit("und").alias("language"), F.lit(1.0).alias("posterior"), F.lit("und").alias("text_language"), F.lit(False).alias("kept"))
-    table = class_log_probabilities(rows.select(F.col("declared").alias("label"), "text"), languages)
+    table = class_log_probabilities(rows.select(F.col("declared").alias("label"), "text"), languages, smooth=0.1)
     known = F.when(F.col("declared").isNull() | (F.col("declared") == ""), "").when(F.col("declared").isin(languages), F.col("declared")).otherwise("other")
     score = written(scored(rows, "text", table).withColumns({"known": known, "suffix": suffix_of(F.col("host"))}), "langid-scores")
 
     n = len(languages) + 1
     flat = F.array_repeat(F.lit(-math.log(n)), n)
-    with_und = F.concat("mean_ll", F.array(F.lit(-BITS * math.log(2.0))))
+    with_und = F.concat("mean_ll", F.array(F.lit(-BITS * math.log(2.0) - UND_MARGIN)))
     score = score.withColumn("seen", F.when(F.col("n_grams") > 0, log_softmax(F.transform(with_und, lambda x: x * F.least("n_grams", F.lit(EFFECTIVE))))).otherwise(flat))
     soft = F.array(*[F.sum(F.exp(F.col("seen")[i])) for i in range(n)])
     by_host = score.groupBy("host", "suffix", "known").agg(soft.alias("soft"), F.count("*").alias("rows"))
