@@ -1,10 +1,11 @@
 """Near duplicates: universal hash minima, bands, verification on full sets, connected components.
 
 Documents with equal shingle sets form a class first, so copies cost one row each. Classes that share a band are
-candidates. A band's members are not paired with each other: in each round they are paired with a few pivots, and
-only where they are not yet connected. Rounds go on, with ever more pivots, until every two members of every band are
-connected or were compared, so nothing is capped, and a group of near copies costs a few pairs per member. A
-link needs intersection / union >= threshold on the full sets. Components come from large-star and small-star.
+candidates. A band's members are not paired with each other but with one pivot, the member that shares most bands, so a group of
+near copies costs a pair per member and band. Members of a band that are not connected then are joined exactly: each emits the
+rarest of its shingles, as many as one of any linked pair must share, and meets those of other components that have one
+in common early enough for the overlap that a link needs. So nothing is capped and no link of a band is lost. A link needs intersection / union >= threshold on
+the full sets. Components come from large-star and small-star.
 
 Bands are chosen so that a pair at the threshold is missed with a probability of at most MISS.
 
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 from tapeline.llm.common import row_key, small_batches, written
 from tapeline.llm.components import stars
 
-#: Chance to miss a pair at the threshold, hash functions at most, pivots of the rounds.
-MISS, MOST_HASHES, PIVOTS = 1e-6, 160, (1, 8, 64, 512)
+#: Chance to miss a pair at the threshold, hash functions at most, bits of the hashed counts that order shingles by rarity.
+MISS, MOST_HASHES, COUNT_BITS = 1e-6, 160, 18
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -121,6 +122,36 @@ def _links(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
 
 
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(1 << COUNT_BITS, np.int64)
+    for batch in batches:
+        for v in batch.column(0):
+            total += np.bincount(_slots(np.frombuffer(v.as_buffer(), np.uint64)), minlength=1 << COUNT_BITS)
+    (at,) = np.nonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["slot", "n"])
+
+
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], counts, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """The rarest n - ceil(threshold n) + 1 shingles of each set, in one order for all sets."""
+    rarity = counts.value
+    for batch in batches:
+        rows, hashes, places = [], [], []
+        for i, v in enumerate(batch.column(3)):
+            h = np.frombuffer(v.as_buffer(), np.uint64)
+            first = np.lexsort((h, rarity[_slots(h)]))[: len(h) - -(-num * len(h) // den) + 1]
+            rows.append(np.full(len(first), i))
+            places.append(np.arange(len(first)))
+            hashes.append(h[first].view(np.int64))
+        at = pa.array(np.concatenate(rows)) if rows else pa.array([], pa.int64())
+        kept = [batch.column(k).take(at) for k in range(3)]
+        flat = [pa.array(np.concatenate(x)) if x else pa.array([], pa.int64()) for x in (hashes, places)]
+        yield pa.RecordBatch.from_arrays([*kept, *flat], names=["node", "n", "label", "shingle", "place"])
+
+
 def signatures(docs: DataFrame, k: int, bands: int, rows: int, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, content, n_shingles, node, bands): node is the 128-bit digest of the full set."""
     small_batches(docs.sparkSession)
@@ -150,47 +181,67 @@ def _connected(docs: DataFrame, sig: DataFrame, classes: DataFrame, k: int, num:
     rows = rows.join(firsts.select(F.col("node").alias("__n"), "d", "c"), (F.col("node") == F.col("__n")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("content") == F.col("c")), "left_semi")
     member = rows.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("band")).distinct()
     tag = F.xxhash64("node")
-    bands = member.groupBy("band").agg(F.count("*").alias("members"), F.bit_xor(tag).alias("x"), F.sum(tag.bitwiseAND(0xFFFFFFFFFFF)).alias("s"), F.min("node").alias("pivot")).where("members > 1")
+    bands = member.groupBy("band").agg(F.count("*").alias("members"), F.bit_xor(tag).alias("x"), F.sum(tag.bitwiseAND(0xFFFFFFFFFFF)).alias("s")).where("members > 1")
     # bands with the same members count once
-    bands = bands.groupBy("members", "x", "s").agg(F.min("band").alias("band"), F.min("pivot").alias("pivot"))
-    member = written(member.join(bands.select("band", "members", "pivot"), "band"), "minhash-members")
+    bands = bands.groupBy("members", "x", "s").agg(F.min("band").alias("band"))
+    member = written(member.join(bands.select("band", "members"), "band"), "minhash-members")
+    sets = _shingled(docs, member.select("node").distinct().join(firsts, "node"), k, ident, text)
+    # from here on nodes sort by how many they share bands with, the most first: a family's hub is its bands' least, and its centre
+    shared = member.groupBy(F.col("node").alias("id")).agg(F.sum("members").alias("shared"))
+    name = F.concat(F.unhex(F.lpad(F.hex(F.lit((1 << 62) - 1) - F.col("shared")), 16, "0")), F.col("id")).alias("node")
+    named = written(shared.select("id", name), "minhash-names")
+    member = written(member.withColumnRenamed("node", "id").join(named, "id").drop("id"), "minhash-named")
+    sets = written(sets.withColumnRenamed("node", "id").join(named, "id").drop("id"), "minhash-sets")
+
+    pivots = member.groupBy("band").agg(F.min(F.struct("node", "n")).alias("p")).select("band", F.col("p.node").alias("pivot"), F.col("p.n").alias("n_p"))
     near = (F.col("n") * den >= F.col("n_p") * num) & (F.col("n_p") * den >= F.col("n") * num)
-    size = classes.select(F.col("node").alias("pivot"), F.col("n").alias("n_p"))
-    now, done, links, seen = None, 0, None, None
-    for turn in range(1000):
-        upto = done + (PIVOTS[turn] if turn < len(PIVOTS) else PIVOTS[-1] * 8)
-        live = member if now is None else _unresolved(member.where(F.col("members") > done + 1), now)
-        if turn == 0:
-            pairs = live.where("node <> pivot").join(size, "pivot").where(near)
-        else:
-            turns = F.row_number().over(Window.partitionBy("band").orderBy((F.col("node") != F.col("pivot")), F.xxhash64("node", "band")))
-            pivots = live.withColumn("nth", turns).where((F.col("nth") > done) & (F.col("nth") <= upto)).select("band", F.col("node").alias("pivot"), F.col("n").alias("n_p"), F.col("label").alias("label_p"))
-            pairs = live.drop("pivot").join(pivots, "band").where(near & (F.col("label") != F.col("label_p")))
-        pairs = pairs.select(F.least("pivot", "node").alias("u"), F.greatest("pivot", "node").alias("v")).distinct()
-        pairs = written(pairs if seen is None else pairs.join(seen, ["u", "v"], "left_anti"), "minhash-pairs")
-        fresh = written(_verified(docs, firsts, pairs, k, num, den, ident, text), "minhash-links")
-        links = fresh if now is None else now.union(fresh)
-        now = stars(links, "minhash-stars")
-        seen = pairs if seen is None else seen.union(pairs)
-        done = upto
-        if _unresolved(member.where(F.col("members") > done + (turn > 0)), now).limit(1).count() == 0:
-            break
-    return now
+    pairs = member.join(pivots, "band").where(near & (F.col("node") != F.col("pivot")))
+    pairs = written(_ordered(pairs, "pivot", "node"), "minhash-pairs")
+    now = stars(_verified(pairs, sets, num, den), "minhash-stars")
+
+    rest = written(_unresolved(member, now), "minhash-rest")
+    if rest.limit(1).count() == 0:
+        return _unnamed(now)
+    own = rest.join(sets, "node").select("node", "n", "label", "shingles")
+    seen = own.select("shingles").mapInArrow(_counts, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << COUNT_BITS, np.int64)  # a fixed number of counts, whatever the input
+    counts[seen["slot"].to_numpy()] = seen["n"].to_numpy()
+    rarity = docs.sparkSession.sparkContext.broadcast(counts)
+    prefix = written(own.mapInArrow(partial(_prefixes, counts=rarity, num=num, den=den), "node binary, n long, label binary, shingle long, place long"), "minhash-prefixes")
+    other = prefix.select("shingle", F.col("node").alias("pivot"), F.col("n").alias("n_p"), F.col("label").alias("label_p"), F.col("place").alias("place_p"))
+    # what both hold from their first common shingle on must make up the overlap that a link needs
+    enough = F.least(F.col("n") - F.col("place"), F.col("n_p") - F.col("place_p")) * (num + den) >= num * (F.col("n") + F.col("n_p"))
+    met = _ordered(prefix.join(other, "shingle").where((F.col("node") < F.col("pivot")) & (F.col("label") != F.col("label_p")) & near & enough), "pivot", "node")
+    fresh = _verified(written(met.join(pairs, ["u", "v"], "left_anti"), "minhash-pairs"), sets, num, den)
+    return _unnamed(stars(now.union(fresh), "minhash-stars"))
+
+
+def _unnamed(edges: DataFrame) -> DataFrame:
+    return edges.select(F.expr("substring(u, 9)").alias("u"), F.expr("substring(v, 9)").alias("v"))
+
+
+def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    return pairs.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct()
 
 
 def _unresolved(member: DataFrame, now: DataFrame) -> DataFrame:
-    """Members, with labels, of bands that hold more than one component."""
-    labelled = member.join(now.select(F.col("u").alias("node"), F.col("v").alias("__v")), "node", "left").withColumn("label", F.coalesce("__v", "node")).drop("__v")
+    """(node, n, label) of bands of three or more that hold more than one component: not all their pairs were compared."""
+    labelled = member.where("members > 2").join(now.select(F.col("u").alias("node"), F.col("v").alias("__v")), "node", "left").withColumn("label", F.coalesce("__v", "node")).drop("__v")
     several = labelled.groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("band")
-    return labelled.join(several, "band", "left_semi")
+    return labelled.join(several, "band", "left_semi").select("node", "n", "label").distinct()
 
 
-def _verified(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, k: int, num: int, den: int, ident: str, text: str) -> DataFrame:
-    """Pairs whose full sets overlap enough. Only texts of classes in a pair are shingled again."""
-    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct().join(firsts, "node")
+def _shingled(docs: DataFrame, wanted: DataFrame, k: int, ident: str, text: str) -> DataFrame:
+    """(node, shingles): the full sets of wanted (node, d, c), one text each."""
     texts = docs.select(F.col(ident).cast("long").alias("doc_id"), row_key(text).alias("content"), F.col(text).cast("string").alias("text"))
     texts = texts.join(wanted.select("node", "d", "c"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("content") == F.col("c"))).select("node", "text")
-    sets = written(texts.mapInArrow(partial(_sets, k=k), "node binary, shingles binary"), "minhash-sets").dropDuplicates(["node"])
+    # rows that repeat an id and a text give a set once
+    nth = F.row_number().over(Window.partitionBy("node").orderBy("node"))
+    return texts.mapInArrow(partial(_sets, k=k), "node binary, shingles binary").withColumn("nth", nth).where("nth = 1").drop("nth")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs whose full sets overlap enough."""
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
     return both.select("u", "v", "a", "b").mapInArrow(partial(_links, num=num, den=den), "u binary, v binary")
 
