@@ -3,8 +3,10 @@
 Base: e-mail and IP addresses, card and phone numbers by pattern. On top, information-theoretic sanitisation: each
 base value is a protected entity e. For terms t within WINDOW characters of it, documents are counted over the whole
 corpus: n(e) with the entity, n(t) with the term, n(t, e) with both within reach. A term's pointwise mutual information with the
-entity, as a share of the entity's information -log n(e)/N, is 1 + log(n(t, e) / n(t)) / -log(n(e) / N). From
-GENERALISE on, with n(t, e) >= SUPPORT, the term beside that entity is generalised to a placeholder, from REMOVE on removed.
+entity, as a share of the entity's information -log n(e)/N, is 1 + log(p) / -log(n(e) / N), where p is the probability of the
+entity given the term. It is shrunk to independence by PRIOR documents, p = (n(t, e) + PRIOR n(e) / N) / (n(t) + PRIOR), so a
+sparse pair counts for less but no pair is left out for being rare. From GENERALISE on, the term beside that entity is
+generalised to a placeholder, from REMOVE on removed.
 
 Only contexts of entities are paired with terms, so pairs grow with the entities found, not with the square of a
 text or a group; term counts are pre-aggregated before they are shuffled.
@@ -27,8 +29,8 @@ from tapeline.llm.common import row_key, written
 KINDS = ("email", "ip", "card", "phone", "term", "removed")
 PLACEHOLDERS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]", "removed": ""}
 
-#: Code points around an entity, letters of a term at least, documents with both at least, shares of information.
-WINDOW, LETTERS, SUPPORT, GENERALISE, REMOVE = 64, 4, 3, 0.8, 0.95
+#: Code points around an entity, letters of a term at least, documents that the prior of a pair counts as, shares of information.
+WINDOW, LETTERS, PRIOR, GENERALISE, REMOVE = 64, 4, 3, 0.8, 0.95
 
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
@@ -110,11 +112,13 @@ def disclosing_terms(found: DataFrame, texts: DataFrame) -> DataFrame:
     holds = found.where(F.size("spans") > 0).select("doc_id", "content", F.explode(F.array_distinct(F.transform("spans", lambda s: s["value"]))).alias("entity"))
     entities = holds.distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     near = found.where(F.size("terms") > 0).select("doc_id", "content", F.explode(F.array_distinct(F.transform("terms", lambda t: F.struct(t["entity"].alias("entity"), t["term"].alias("term"))))).alias("x"))
-    both = near.select("doc_id", "content", "x.entity", "x.term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= SUPPORT)
+    both = near.select("doc_id", "content", "x.entity", "x.term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te"))
     words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
     terms = words.groupBy("term").agg(F.count("*").alias("n_t"))
     told = both.join(entities, "entity").join(terms, "term")
-    share = 1 + F.log(F.least(F.col("n_te") / F.col("n_t"), F.lit(1.0))) / F.greatest(F.log(F.lit(float(max(2, documents))) / F.col("n_e")), F.lit(1e-9))
+    base = F.col("n_e") / F.lit(float(max(2, documents)))
+    given = F.least((F.col("n_te") + PRIOR * base) / (F.col("n_t") + PRIOR), F.lit(1.0))
+    share = 1 + F.log(given) / F.greatest(-F.log(base), F.lit(1e-9))
     return told.withColumn("share", share).where(F.col("share") >= GENERALISE).select("entity", "term", (F.col("share") >= REMOVE).alias("removed"))
 
 

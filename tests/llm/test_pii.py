@@ -66,3 +66,13 @@ def test_overlaps_merge(spark):
     r = pii.sanitise(df).first()["text"]
     assert "4532" not in r and r.startswith("x ") and r.endswith(" y")
     assert pii.sanitise(df.select("doc_id", F.lit(None).cast("string").alias("text"))).first()["text"] is None
+
+
+def test_sparse_entities_have_terms(spark):
+    """A value held by one or two documents is told by a term that goes with it; the prior keeps commoner terms."""
+    fill = "common words about the weather and other matters of the day"
+    rows = [(i, f"{fill} {i}") for i in range(2000)]
+    rows += [(5000, "ask Wintermute at one@corp.example today"), (5001, "Neuromancer 10.1.2.3 today"), (5002, "Neuromancer 10.1.2.3 today")] + [(6000 + i, "today") for i in range(40)]
+    got = {r["doc_id"]: r["spans"] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id >= 5000").collect()}
+    told = {i: [s["value"] for s in spans if s["kind"] >= 4] for i, spans in got.items()}
+    assert told[5000] == ["wintermute"] and told[5001] == told[5002] == ["neuromancer"] and not any(told[6000 + i] for i in range(40))
