@@ -1,15 +1,17 @@
 """Personal data, and terms that disclose it. DataFrame functions only.
 
 Base: e-mail and IP addresses, card and phone numbers by pattern. On top, information-theoretic sanitisation: each
-base value is a protected entity e. For terms t within WINDOW characters of it, documents are counted over the whole
-corpus: n(e) with the entity, n(t) with the term, n(t, e) with both within reach. A term's pointwise mutual information with the
+base value is a protected entity e. Documents are counted over the whole corpus: n(e) with the entity, n(t) with the
+term, n(t, e) with both anywhere in the text. A term's pointwise mutual information with the
 entity, as a share of the entity's information -log n(e)/N, is 1 + log(p) / -log(n(e) / N), where p is the probability of the
 entity given the term. It is shrunk to independence by PRIOR documents, p = (n(t, e) + PRIOR n(e) / N) / (n(t) + PRIOR), so a
-sparse pair counts for less but no pair is left out for being rare. From GENERALISE on, the term beside that entity is
-generalised to a placeholder, from REMOVE on removed.
+sparse pair counts for less but no pair is left out for being rare. From GENERALISE on, every occurrence of the term in the
+documents with that entity is generalised to a placeholder, from REMOVE on removed. In documents without the entity the
+term stays.
 
-Only contexts of entities are paired with terms, so pairs grow with the entities found, not with the square of a
-text or a group; term counts are pre-aggregated before they are shuffled.
+As n(t, e) <= n(e), a term passes for an entity only if n(t) is at most a bound by n(e) (most_frequent): commoner terms are
+left before terms and entities are paired, which changes no result. Entities of the same documents have the same
+counts and are paired as one group, so a text full of values of its own has one group. Frequent keys are looked up by broadcast.
 
 Patterns use possessive repeats and start only where a run of their characters starts, so neither the stack
 nor the time grows with the square of a long run.
@@ -29,8 +31,11 @@ from tapeline.llm.common import row_key, written
 KINDS = ("email", "ip", "card", "phone", "term", "removed")
 PLACEHOLDERS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]", "removed": ""}
 
-#: Code points around an entity, letters of a term at least, documents that the prior of a pair counts as, shares of information.
-WINDOW, LETTERS, PRIOR, GENERALISE, REMOVE = 64, 4, 3, 0.8, 0.95
+#: Letters of a term at least, documents that the prior of a pair counts as, shares of information.
+LETTERS, PRIOR, GENERALISE, REMOVE = 4, 3, 0.8, 0.95
+
+#: A key in more than this share of the documents is looked up by broadcast; there are at most as many as 1 / share x a document's keys.
+FREQUENT = 1e-3
 
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
@@ -81,24 +86,37 @@ def base_spans(text: Column) -> Column:
     ))
 
 
-def contexts(text: Column, spans: Column) -> Column:
-    """Terms near each span, array<struct<entity, term, start, stop>>; a gap reaches to the next span at most."""
+def outside(text: Column, spans: Column) -> Column:
+    """text with what lies in spans blanked; positions stay."""
+
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.substr(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        blank = F.repeat(F.lit(" "), F.greatest(s["stop"] - F.greatest(s["start"], acc["at"]), F.lit(0)))
+        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.concat(acc["out"], F.array(gap, blank)).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
+    blanked = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1)))
+    return F.when(F.size(spans) > 0, blanked).otherwise(text)
+
+
+def words_of(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
-    def near(s: Column, i: Column) -> Column:
-        before = F.when(i > 0, F.get(spans, i - 1)["stop"]).otherwise(F.lit(0))
-        after = F.coalesce(F.get(spans, i + 1)["start"], F.lit(1 << 30))
-        left = F.greatest(before, s["start"] - WINDOW)
-        right = F.least(after, s["stop"] + WINDOW)
-        # a word cut by the window's rim is not a term
-        lead = F.substr(text, left + 1, F.greatest(s["start"] - left, F.lit(0)))
-        cut = F.when(left > before, F.length(F.regexp_extract(lead, r"^\p{L}*", 0))).otherwise(F.lit(0))
-        lead = F.substr(lead, cut + 1)
-        tail = F.substr(text, s["stop"] + 1, F.greatest(right - s["stop"], F.lit(0)))
-        tail = F.when(right < after, F.regexp_replace(tail, r"(?<!\p{L})\p{L}++$", "")).otherwise(tail)
-        named = lambda part, at: F.transform(located(part, TERM), lambda t: F.struct(s["value"].alias("entity"), F.lower(t["value"]).alias("term"), (at + t["start"]).alias("start"), (at + t["stop"]).alias("stop")))
-        return F.concat(named(lead, left + cut), named(tail, s["stop"]))
 
-    return F.flatten(F.transform(spans, near))
+def occurrences(text: Column, masked: Column, gone: Column) -> Column:
+    """Spans, as in base_spans, of every occurrence of the masked terms; those in gone are removed."""
+    between, found = F.split(text, F.lit(TERM), -1), F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,kind:int,stop:int,value:string>>)").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        a, term = acc["at"] + F.length(x["gap"]), F.lower(x["hit"])
+        b = a + F.length(x["hit"])
+        kind = F.when(F.array_contains(gone, term), KINDS.index("removed")).otherwise(KINDS.index("term"))
+        more = F.array(F.struct(a.alias("start"), kind.alias("kind"), b.alias("stop"), term.alias("value")))
+        return F.struct(b.alias("at"), F.when(F.array_contains(masked, term), F.concat(acc["out"], more)).otherwise(acc["out"]).alias("out"))
+
+    zipped = F.filter(F.arrays_zip(between.alias("gap"), found.alias("hit")), lambda x: x["hit"].isNotNull())
+    return F.aggregate(zipped, start, step, lambda acc: acc["out"])
 
 
 def span_text(spans: Column) -> Column:
@@ -106,35 +124,55 @@ def span_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
-def disclosing_terms(found: DataFrame, texts: DataFrame) -> DataFrame:
-    """(entity, term, removed) above the threshold. found: (doc_id, content, spans, terms); texts: (doc_id, content, text)."""
-    documents = texts.count()
-    holds = found.where(F.size("spans") > 0).select("doc_id", "content", F.explode(F.array_distinct(F.transform("spans", lambda s: s["value"]))).alias("entity"))
-    entities = holds.distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    near = found.where(F.size("terms") > 0).select("doc_id", "content", F.explode(F.array_distinct(F.transform("terms", lambda t: F.struct(t["entity"].alias("entity"), t["term"].alias("term"))))).alias("x"))
-    both = near.select("doc_id", "content", "x.entity", "x.term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te"))
-    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    terms = words.groupBy("term").agg(F.count("*").alias("n_t"))
-    told = both.join(entities, "entity").join(terms, "term")
-    base = F.col("n_e") / F.lit(float(max(2, documents)))
+def most_frequent(n_e: Column, documents: int) -> Column:
+    """The largest n(t) of a term that can pass for an entity in n_e documents, were it in all of them; one more for rounding."""
+    base = n_e / F.lit(float(documents))
+    return (n_e + PRIOR * base) * F.pow(base, F.lit(GENERALISE - 1)) - PRIOR + 1
+
+
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], n: str, frequent: float, fits: Column | None = None) -> DataFrame:
+    """rows with the row of table that has the same keys and fits; keys with n above `frequent` are broadcast, so no task gets all rows of one."""
+    fits = F.lit(True) if fits is None else fits
+    often = table.where(F.col(n) > frequent)
+    rest = rows.join(F.broadcast(often.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(often.where(fits)), keys).unionByName(rest.join(table.where(fits & (F.col(n) <= frequent)), keys))
+
+
+def disclosing_terms(found: DataFrame) -> DataFrame:
+    """(key, masked, gone): per document the terms above the threshold for any of its entities. found: (key, spans, words)."""
+    documents = max(2, found.count())
+    frequent = documents * FREQUENT
+    held = written(found.where(F.size("spans") > 0).select("key", F.array_distinct(F.transform("spans", lambda s: s["value"])).alias("entities"), "words").dropDuplicates(["key"]), "pii-held")
+    holds = held.select("key", F.explode("entities").alias("entity"))
+    same = [F.bit_xor(F.xxhash64("key", F.lit(i))).alias(f"same_{i}") for i in range(2)]
+    entities = written(holds.groupBy("entity").agg(F.count("*").alias("n_e"), *same), "pii-entities")
+    group = ["n_e", "same_0", "same_1"]
+    groups = looked_up(holds, entities, ["entity"], "n_e", frequent).groupBy("key").agg(F.collect_set(F.struct(*group)).alias("groups"))
+
+    terms = written(found.select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("n_t")), "pii-terms")
+    most = entities.agg(F.max(most_frequent(F.col("n_e"), documents)).alias("most")).first()["most"] or 0.0
+    rare = looked_up(held.select("key", F.explode("words").alias("term")), terms, ["term"], "n_t", frequent, F.col("n_t") <= most)
+    pairs = rare.join(groups, "key").select("key", "term", "n_t", F.explode(F.filter("groups", lambda g: F.col("n_t") <= most_frequent(g["n_e"], documents))).alias("g"))
+    pairs = written(pairs.select("key", "term", "n_t", "g.*"), "pii-pairs")
+    both = pairs.groupBy(*group, "term", "n_t").agg(F.count("*").alias("n_te"))
+    base = F.col("n_e") / F.lit(float(documents))
     given = F.least((F.col("n_te") + PRIOR * base) / (F.col("n_t") + PRIOR), F.lit(1.0))
     share = 1 + F.log(given) / F.greatest(-F.log(base), F.lit(1e-9))
-    return told.withColumn("share", share).where(F.col("share") >= GENERALISE).select("entity", "term", (F.col("share") >= REMOVE).alias("removed"))
+    told = written(both.withColumn("share", share).where(F.col("share") >= GENERALISE).select(*group, "term", "n_te", (F.col("share") >= REMOVE).alias("removed")), "pii-told")
+    spots = looked_up(pairs, told, [*group, "term"], "n_te", frequent)
+    return spots.groupBy("key").agg(F.collect_set("term").alias("masked"), F.collect_set(F.when(F.col("removed"), F.col("term"))).alias("gone"))
 
 
 def find(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, content (a key of its text), base and spans (arrays as in base_spans)."""
     texts = docs.select(F.col(ident).alias("doc_id"), row_key(text).alias("content"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    based = texts.withColumn("spans", base_spans(F.col("text")))
-    nothing = F.expr("cast(array() as array<struct<entity:string,term:string,start:int,stop:int>>)")
-    found = written(based.select("doc_id", "content", "spans", F.when(F.size("spans") > 0, contexts(F.col("text"), F.col("spans"))).otherwise(nothing).alias("terms")), "pii-found")
-    told = disclosing_terms(found, texts)
-    spots = found.where(F.size("terms") > 0).select("doc_id", "content", F.explode("terms").alias("x")).select("doc_id", "content", "x.*").distinct().join(told, ["entity", "term"])
-    more = spots.groupBy("doc_id", "content", "start", "stop", "term").agg(F.max("removed").alias("removed")).withColumn("span", F.struct("start", F.when(F.col("removed"), KINDS.index("removed")).otherwise(KINDS.index("term")).alias("kind"), "stop", F.col("term").alias("value")))
-    more = more.groupBy(F.col("doc_id").alias("__d"), F.col("content").alias("__c")).agg(F.collect_list("span").alias("more"))
-    joined = found.join(more, found["doc_id"].eqNullSafe(more["__d"]) & (found["content"] == more["__c"]), "left")
-    every = F.when(F.col("more").isNull(), F.col("spans")).otherwise(F.sort_array(F.concat("spans", "more")))
-    return joined.select("doc_id", "content", F.col("spans").alias("base"), every.alias("spans"))
+    key = F.concat(F.col("content").cast("string"), F.coalesce(F.concat(F.lit(":"), F.col("doc_id").cast("string")), F.lit("")))
+    based = texts.withColumn("key", key).withColumn("spans", base_spans(F.col("text"))).withColumn("clear", outside(F.col("text"), F.col("spans")))
+    found = written(based.select("doc_id", "content", "key", "spans", words_of(F.col("clear")).alias("words"), F.when(F.size("spans") > 0, F.col("clear")).alias("clear")), "pii-found")
+    out = ["doc_id", "content", F.col("spans").alias("base")]
+    told = found.where(F.size("spans") > 0).join(disclosing_terms(found), "key", "left")
+    more = F.when(F.col("masked").isNull(), F.col("spans")).otherwise(F.sort_array(F.concat("spans", occurrences(F.col("clear"), F.col("masked"), F.col("gone")))))
+    return found.where(F.size("spans") == 0).select(*out, "spans").unionByName(told.select(*out, more.alias("spans")))
 
 
 def digests(found: DataFrame) -> DataFrame:

@@ -76,3 +76,17 @@ def test_sparse_entities_have_terms(spark):
     got = {r["doc_id"]: r["spans"] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id >= 5000").collect()}
     told = {i: [s["value"] for s in spans if s["kind"] >= 4] for i, spans in got.items()}
     assert told[5000] == ["wintermute"] and told[5001] == told[5002] == ["neuromancer"] and not any(told[6000 + i] for i in range(40))
+
+
+def test_terms_at_a_distance(spark):
+    """Terms count, and are masked, anywhere in a document with the entity, behind other spans too."""
+    fill = "common words about the weather and other matters of the day " * 10
+    rows = [(i, f"{fill} {i}") for i in range(2000)]
+    rows += [(5000 + i, f"Wintermute {fill} a@b.example {fill} x{i}@corp.example {fill} wintermute's boss@corp.example WINTERMUTE") for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.find(df).where("doc_id >= 5000").collect()}
+    for i in range(6):
+        text = rows[2000 + i][1]
+        assert [text[s["start"] : s["stop"]] for s in got[5000 + i] if s["kind"] >= 4] == ["Wintermute", "wintermute", "WINTERMUTE"]
+    clean = pii.sanitise(df).where("doc_id = 5000").first()["text"]
+    assert "wintermute" not in clean.lower() and clean.count("weather") == 30
