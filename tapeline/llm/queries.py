@@ -34,6 +34,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_documents(read_table(spark, sf_dir, "documents")).drop("content")
 
 
+def op4_language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of op4's evidence: documents have no markup and no address, pages have both."""
+    return langid.identify_pages(read_table(spark, sf_dir, "pages")).drop("content").withColumnRenamed("doc_id", "page_id")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -62,7 +67,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_byte_bpe": op1_byte_bpe, "op2_url_filter": op2_url_filter, "op3_source_mixing": op3_source_mixing, "op4_language_id": op4_language_id, "op5_quality_rules": op5_quality_rules, "op6_quality_classifier": op6_quality_classifier, "op7_minhash": op7_minhash, "op8_matroska": op8_matroska, "op9_warc": op9_warc, "op10_pii": op10_pii}
+    return {"op1_byte_bpe": op1_byte_bpe, "op2_url_filter": op2_url_filter, "op3_source_mixing": op3_source_mixing, "op4_language_id": op4_language_id, "op4_language_id_pages": op4_language_id_pages, "op5_quality_rules": op5_quality_rules, "op6_quality_classifier": op6_quality_classifier, "op7_minhash": op7_minhash, "op8_matroska": op8_matroska, "op9_warc": op9_warc, "op10_pii": op10_pii}
 
 
 #: Shingles, links by counted overlaps, and their closure; copies are counted by equal sets.

@@ -48,6 +48,14 @@ def test_pages_use_markup_and_address(spark):
     assert got[900]["language"] == "de" and got[900]["kept"] and not got[901]["kept"]
 
 
+def test_pages_query_covers_the_table(spark, sf):
+    from tapeline.llm import queries
+
+    out = queries.queries()["op4_language_id_pages"](spark, sf).collect()
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    assert sorted(r["page_id"] for r in out) == sorted(r["page_id"] for r in pages.collect()) and all(r["declared"] for r in out)
+
+
 def quality_rows(n=600, seed=5):
     rng, rows, labels = random.Random(seed), [], []
     for i in range(n):
