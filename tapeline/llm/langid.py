@@ -8,7 +8,8 @@ of a host, shrunk to that of its address suffix, and that to the corpus's, all f
 aggregation. The posterior multiplies the three.
 
 Cases: a null or empty text, or one of digits, has flat text evidence and is rejected. A null declaration, host or suffix is a value of
-its own. A declaration outside the MOST_LANGUAGES commonest is `other`. Texts in no known language come out as
+its own. Declarations are compared by their primary subtag in lower
+case (`EN` and `en-US` are `en`), and every one has a model: 128 KB of broadcast for each. Texts in no known language come out as
 `und` and are rejected, as are those whose best posterior is under `least`. Repeated rows are judged alike. An
 empty table, or one without declarations, knows no language, so its rows are `und`. Other columns are not looked at.
 """
@@ -16,7 +17,6 @@ empty table, or one without declarations, knows no language, so its rows are `un
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from tapeline.llm.common import log_softmax, row_key, written
 from tapeline.llm.grams import BITS, class_log_probabilities, scored
 
-#: Languages at most; trigrams that count as independent; strengths of the suffix's and the host's prior; by how much a text
+#: Trigrams that count as independent; strengths of the suffix's and the host's prior; by how much a text
 #: must fit worse than chance, in nats per trigram, before no known language is likelier.
-MOST_LANGUAGES, EFFECTIVE, SUFFIX_STRENGTH, HOST_STRENGTH, UND_MARGIN = 64, 60, 20.0, 20.0, 1.0
+EFFECTIVE, SUFFIX_STRENGTH, HOST_STRENGTH, UND_MARGIN = 60, 20.0, 20.0, 1.0
 
 
 def html_language(html: Column) -> Column:
@@ -47,17 +47,21 @@ def suffix_of(host: Column) -> Column:
     return F.when(F.contains(host, F.lit(".")), F.substring_index(host, ".", -1)).otherwise(F.lit(""))
 
 
+def language_code(declared: Column) -> Column:
+    """The primary subtag of a declared language in lower case, empty if none."""
+    return F.coalesce(F.lower(F.regexp_extract(declared, r"^\s*([^\s_-]+)", 1)), F.lit(""))
+
+
 def identify(docs: DataFrame, ident: Column, text: Column, declared: Column, host: Column, least: float = 0.5) -> DataFrame:
     """One row per document: doc_id, content (a key of its text), declared, language, posterior, text_language, kept."""
     rows = docs.select(ident.cast("long").alias("doc_id"), text.cast("string").alias("text"), declared.cast("string").alias("declared"), F.coalesce(host.cast("string"), F.lit("")).alias("host"))
     rows = rows.withColumn("content", row_key("text", "declared", "host"))
-    found = rows.where("declared is not null and declared <> ''").groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(MOST_LANGUAGES).collect()
-    languages = sorted(r["declared"] for r in found)
+    rows = rows.withColumn("known", language_code(F.col("declared")))
+    languages = sorted(r["known"] for r in rows.where("known <> ''").select("known").distinct().collect())
     if not languages:
         return rows.select("doc_id", "content", "declared", F.lit("und").alias("language"), F.lit(1.0).alias("posterior"), F.lit("und").alias("text_language"), F.lit(False).alias("kept"))
-    table = class_log_probabilities(rows.select(F.col("declared").alias("label"), "text"), languages, smooth=0.1)
-    known = F.when(F.col("declared").isNull() | (F.col("declared") == ""), "").when(F.col("declared").isin(languages), F.col("declared")).otherwise("other")
-    score = written(scored(rows, "text", table).withColumns({"known": known, "suffix": suffix_of(F.col("host"))}), "langid-scores")
+    table = class_log_probabilities(rows.select(F.col("known").alias("label"), "text"), languages, smooth=0.1)
+    score = written(scored(rows, "text", table).withColumn("suffix", suffix_of(F.col("host"))), "langid-scores")
 
     n = len(languages) + 1
     flat = F.array_repeat(F.lit(-math.log(n)), n)
@@ -75,14 +79,14 @@ def identify(docs: DataFrame, ident: Column, text: Column, declared: Column, hos
     hosts = by_host.groupBy("host", "suffix").agg(add().alias("soft"), F.sum("rows").alias("rows")).join(suffixes, "suffix")
     hosts = hosts.select("host", F.array(*[F.log((F.col("soft")[i] + HOST_STRENGTH * F.col("suffix_prior")[i]) / (F.col("rows") + HOST_STRENGTH)) for i in range(n)]).alias("host_prior"))
 
-    # what is declared, given the language: at most MOST_LANGUAGES + 2 rows
+    # what is declared, given the language: a row for each language and one for none
     told = {r["known"]: r["soft"] for r in by_host.groupBy("known").agg(add().alias("soft")).collect()}
     whole = [sum(s[i] for s in told.values()) for i in range(n)]
     ratio = {d: [math.log((s[i] + 0.5) / (whole[i] + 0.5 * len(told))) for i in range(n)] for d, s in told.items()}
-    said = reduce(lambda c, d: c.when(F.col("known") == d, F.array(*map(F.lit, ratio[d]))), ratio, F.when(F.lit(False), flat)).otherwise(flat)
+    said = rows.sparkSession.createDataFrame(list(ratio.items()), "known string, said array<double>")
 
     names = F.array(*[F.lit(x) for x in [*languages, "und"]])
-    fused = score.join(hosts, "host").withColumn("said", said)
+    fused = score.join(hosts, "host").join(F.broadcast(said), "known", "left").withColumn("said", F.coalesce("said", flat))
     fused = fused.withColumn("post", log_softmax(F.zip_with(F.zip_with("seen", "said", lambda a, b: a + b), "host_prior", lambda a, b: a + b)))
     fused = fused.withColumns({"top": F.array_max("post"), "text_top": F.array_max("seen")})
     fused = fused.withColumns({"language": F.element_at(names, F.array_position("post", F.col("top")).cast("int")), "text_language": F.when(F.col("n_grams") > 0, F.element_at(names, F.array_position("seen", F.col("text_top")).cast("int"))).otherwise("und"), "posterior": F.exp("top")})

@@ -48,6 +48,19 @@ def test_pages_use_markup_and_address(spark):
     assert got[900]["language"] == "de" and got[900]["kept"] and not got[901]["kept"]
 
 
+def test_every_declared_language_is_modelled(spark):
+    """70 languages, each with letters of its own; codes are compared by their primary subtag."""
+    rows = []
+    for k in range(70):
+        letters = [chr(0x4E00 + 40 * k + j) for j in range(40)]
+        for j in range(3 if k else 2):
+            rng = random.Random(1000 * k + j)
+            code = "l" + chr(97 + k // 26) + chr(97 + k % 26)
+            rows.append((10 * k + j, "".join(rng.choice(letters) for _ in range(300)), [code, code.upper(), f" {code}-XY"][j], "host"))
+    got = {r["doc_id"]: r for r in langid.identify_documents(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[i]["language"] == declared.strip().lower()[:3] and got[i]["kept"] and got[i]["declared"] == declared for i, _, declared, _ in rows)
+
+
 def test_pages_query_covers_the_table(spark, sf):
     from tapeline.llm import queries
 
