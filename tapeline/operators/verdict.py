@@ -18,7 +18,8 @@ PARSE_FAILED = "Model output parsing failed"
 def extract_json(raw: Column) -> Column:
     """From the first { to the last } of the first fenced chunk that starts with one, else of the text; null if none."""
     text = F.btrim(F.coalesce(raw, F.lit("")), F.lit(BLANK))
-    chunks = F.transform(F.slice(F.split(text, "```"), 2, 1000), lambda c: F.btrim(F.regexp_replace(c, r"(?i)^\s*json", ""), F.lit(BLANK)))
+    parts = F.split(text, "```")
+    chunks = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda c: F.btrim(F.regexp_replace(c, r"(?i)^\s*json", ""), F.lit(BLANK)))
     chunk = F.get(F.filter(chunks, lambda c: F.startswith(c, F.lit("{"))), F.lit(0))
     return F.nullif(F.regexp_extract(F.coalesce(chunk, text), r"(?s)\{.*\}", 0), F.lit(""))
 

@@ -14,6 +14,11 @@ def test_extract(spark, raw, found):
     assert df.select(extract_json(F.col("raw")).alias("j")).first()["j"] == found
 
 
+def test_extract_behind_many_fences(spark):
+    df = spark.createDataFrame([("{x} " + "```code" * 1500 + '``` {"a": 6}``` {y}',)], "raw string")
+    assert df.select(extract_json(F.col("raw")).alias("j")).first()["j"] == '{"a": 6}'
+
+
 #: object, action, conviction, allocation, target, stop, risks, usable
 CASES = [
     ('{"action": "buy", "conviction_score": 0.5, "allocation_percentage": 0.08}', "HOLD", 0.5, 0.0, 100.0, 90.0, [], True),
