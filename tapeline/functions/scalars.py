@@ -10,8 +10,11 @@ BLANK = " \t\n\x0b\f\r"
 
 
 def exact_round(x: Column, digits: int = 2) -> Column:
-    """Correct rounding of the binary value, as a double (round() works on the decimal form and differs on ties)."""
-    return F.replace(F.format_number(x, digits), F.lit(","), F.lit("")).cast("double")
+    """Correct rounding of the binary value, as a double (round() works on the decimal form and differs on ties).
+
+    What is not finite has no digits and stays as it is.
+    """
+    return F.coalesce(F.replace(F.format_number(x, digits), F.lit(","), F.lit("")).try_cast("double"), x)
 
 
 def snap_round(x: Column) -> Column:
@@ -35,14 +38,25 @@ def missing_if_nan(x: Column) -> Column:
     return F.when(~F.isnan(x), x)
 
 
+def _formatted(x: Column, digits: int) -> Column:
+    return F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf").otherwise(F.format_number(x, digits))
+
+
 def money(x: Column, digits: int = 2) -> Column:
-    """1,234.50"""
-    return F.format_number(x, digits)
+    """1,234.50; inf, -inf and nan by name"""
+    return _formatted(x, digits)
 
 
 def plain(x: Column, digits: int = 2) -> Column:
-    """1234.50"""
-    return F.replace(F.format_number(x, digits), F.lit(","), F.lit(""))
+    """1234.50; inf, -inf and nan by name"""
+    return F.replace(_formatted(x, digits), F.lit(","), F.lit(""))
+
+
+def number_text(x: Column) -> Column:
+    """The shortest digits of a double, without an exponent from 1e-4 up to 1e16: 10000000.0 where a cast gives 1.0E7."""
+    text, size = x.cast("string"), F.abs(x)
+    long = F.regexp_replace(text.cast("decimal(38,20)").cast("string"), r"(\.[0-9]+?)0+$", "$1")
+    return F.when(((size >= 1e7) & (size < 1e16)) | ((size >= 1e-4) & (size < 1e-3)), long).otherwise(text)
 
 
 def upper_strip(x: Column) -> Column:

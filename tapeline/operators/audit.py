@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tapeline.sources.interim import written
+
 DECISIONS = "id bigint, timestamp string, ticker string, action string, conviction_score double, allocation_percentage double, target_price double, stop_loss_price double, current_price double, bull_thesis string, bear_thesis string, risk_assessment string, pm_summary string, key_risks string, risk_approved int, risk_reason string, approved_qty double"
 EXECUTIONS = "id bigint, timestamp string, ticker string, side string, qty double, order_type string, order_id string, status string, execution_notes string"
 EVENTS = "id bigint, timestamp string, level string, event string, details string"
@@ -16,20 +18,22 @@ def create_tables(spark: SparkSession, database: str = "default") -> None:
         spark.sql(f"create table if not exists {database}.{name} ({columns}) using parquet")
 
 
-def numbered(rows: DataFrame, *order: str, first: int = 1, per_range: int = 50_000) -> DataFrame:
-    """rows with a dense id in the given unique order: ranges are counted, then numbered each by itself."""
-    spark = rows.sparkSession
+def numbered(rows: DataFrame, *order: str, first: int = 1, per_range: int = 50_000, most_ranges: int = 10_000) -> DataFrame:
+    """rows with a dense id in the given unique order.
+
+    Rows are dealt to ranges and written once with their range's number; counts and ids both come from what was written, as the bounds
+    of ranges are sampled anew whenever they are dealt. Rows of equal order, if any, get different ids in some order.
+    """
     total = rows.count()
     if not total:
         return rows.withColumn("id", F.lit(first).cast("long"))
-    parts = max(1, -(-total // per_range))
-    dealt = rows.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
-    ranges = dealt.groupBy("__part").agg(F.min(F.struct(*order)).alias("__from"), F.count("*").alias("n")).collect()
+    parts = max(1, min(most_ranges, -(-total // per_range)))
+    dealt = written(rows.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "numbered")
     starts, at = [], first - 1
-    for r in sorted(ranges, key=lambda r: tuple(r["__from"])):
-        starts.append((r["__part"], at))
-        at += r["n"]
-    ahead = spark.createDataFrame(starts, "__part int, __ahead long")
+    for part, n in sorted(tuple(r) for r in dealt.groupBy("__part").count().collect()):  # at most most_ranges rows
+        starts.append((part, at))
+        at += n
+    ahead = rows.sparkSession.createDataFrame(starts, "__part int, __ahead long")
     nth = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
     return dealt.withColumn("__nth", nth).join(F.broadcast(ahead), "__part").withColumn("id", F.col("__ahead") + F.col("__nth")).drop("__part", "__ahead", "__nth")
 
@@ -50,5 +54,11 @@ def append(rows: DataFrame, table: str) -> None:
     rows.select(*[c.strip().split(" ")[0] for c in TABLES[table.rpartition(".")[2]].split(",")]).write.mode("append").insertInto(table)
 
 
+def stored(rows: DataFrame, table: str) -> DataFrame:
+    """rows as an audit table's columns and types, written once and read back."""
+    columns = [c.strip().split(" ") for c in TABLES[table].split(",")]
+    return written(rows.select(*[F.col(n).cast(t).alias(n) for n, t in columns]), table)
+
+
 def event(spark: SparkSession, level: str, name: str, details: str, timestamp: str) -> DataFrame:
     return spark.createDataFrame([(timestamp, level, name, details)], "timestamp string, level string, event string, details string")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeline.functions.scalars import exact_round, finite, missing_if_nan, snap_round
+from tapeline.functions.scalars import exact_round, finite, missing_if_nan, number_text, snap_round
 
 MIN_BARS, YEAR_BARS = 60, 252
 
@@ -89,10 +89,10 @@ def watchlist_packets(watchlist: DataFrame, packets: DataFrame) -> DataFrame:
 
 def prompt_context(packets: DataFrame) -> DataFrame:
     """The text that a verdict is asked on."""
-    price = lambda c: F.concat(F.lit("$"), F.col(f"`{c}`").cast("string"))
+    price = lambda c: F.concat(F.lit("$"), number_text(F.col(f"`{c}`")))
     lines = [
         F.concat(F.lit("Ticker: "), F.col("ticker")), F.concat(F.lit("Current Price: "), price("current_price")),
-        F.concat(F.lit("SMA 20: "), price("sma_20"), F.lit(" | SMA 50: "), price("sma_50")), F.concat(F.lit("14-Day RSI: "), F.col("rsi_14").cast("string")),
+        F.concat(F.lit("SMA 20: "), price("sma_20"), F.lit(" | SMA 50: "), price("sma_50")), F.concat(F.lit("14-Day RSI: "), number_text(F.col("rsi_14"))),
         F.concat(F.lit("14-Day ATR: "), price("atr_14")), F.concat(F.lit("52-Week Range: "), price("52w_low"), F.lit(" - "), price("52w_high")),
         F.lit("Recent News:"), F.col("news_summary"),
     ]

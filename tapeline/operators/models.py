@@ -11,6 +11,9 @@ from tapeline.sources.settings import UNKNOWN_LABEL, Settings
 #: Which feature a rejected request gives up first (fixed order).
 DEGRADE_ORDER = ("fallbacks", "json_schema", "effort", "thinking")
 
+#: What a request with fallbacks announces; attempts of a call and the base of its waits in seconds (fixed values).
+FALLBACK_BETA, ATTEMPTS, WAIT_BASE = "server-side-fallback-2026-07-01", 3, 2
+
 #: The closed schema of a decision (fixed values).
 DECISION_FIELDS = {"action": {"type": "string", "enum": ["BUY", "SELL", "HOLD"]}} | {k: {"type": "number"} for k in ("conviction_score", "allocation_percentage", "target_price", "stop_loss_price")} | {"thesis_summary": {"type": "string"}, "key_risks": {"type": "array", "items": {"type": "string"}}}
 DECISION_SCHEMA = {"type": "object", "properties": DECISION_FIELDS, "required": list(DECISION_FIELDS), "additionalProperties": False}
@@ -65,6 +68,27 @@ def degradation_path(features: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(ordered)), lambda i: F.array_except(features, F.slice(ordered, F.lit(1), i)))
 
 
+def call_outcomes(calls: DataFrame, answers: str = "answers") -> DataFrame:
+    """calls (features, answers: array of `bad_request`, `retry` or `ok` in order) with what the call comes to.
+
+    A bad request drops the next feature and is sent again, or ends the call as `rejected` where none is left. Anything
+    to retry waits 2, 4, ... seconds and ends the call as `unavailable` at the third. What no answer ends is `ok`.
+    """
+    state = lambda status, left, tries, waits, sent: F.struct(status.alias("status"), left.alias("features_left"), tries.alias("attempts"), waits.alias("wait_seconds"), sent.alias("n_requests"))
+    start = state(F.lit("open"), F.col("features"), F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(0).cast("long"))
+
+    def step(s: Column, answer: Column) -> Column:
+        drop, tries = next_to_drop(s["features_left"]), s["attempts"] + 1
+        bad, over = answer == "bad_request", (answer == "retry") & (s["attempts"] + 1 >= ATTEMPTS)
+        status = F.when(answer == "ok", "ok").when(bad & drop.isNull(), "rejected").when(over, "unavailable").otherwise("open")
+        retried = answer == "retry"
+        moved = state(status, F.when(bad & drop.isNotNull(), F.array_remove(s["features_left"], drop)).otherwise(s["features_left"]), F.when(retried, tries).otherwise(s["attempts"]), s["wait_seconds"] + F.when(retried & ~over, F.pow(F.lit(WAIT_BASE), tries).cast("long")).otherwise(F.lit(0).cast("long")), s["n_requests"] + 1)
+        return F.when(s["status"] == "open", moved).otherwise(s)
+
+    folded = calls.withColumn("__end", F.aggregate(answers, start, step))
+    return folded.select(*calls.columns, F.when(F.col("__end.status") == "open", "ok").otherwise(F.col("__end.status")).alias("status"), "__end.features_left", "__end.attempts", "__end.wait_seconds", "__end.n_requests")
+
+
 def routing(settings: Settings, roles: DataFrame) -> DataFrame:
     """roles (role) with the model and token limit of each."""
     pm = F.col("role") == "pm"
@@ -81,7 +105,7 @@ def requests(calls: DataFrame, settings: Settings) -> DataFrame:
         "model", "max_tokens", F.col("system"), F.array(F.struct(F.lit("user").alias("role"), F.col("user").alias("content"))).alias("messages"),
         F.when(has("thinking"), F.struct(F.lit("adaptive").alias("type"))).alias("thinking"),
         F.when(has("effort") | has("json_schema"), F.struct(F.when(has("effort"), F.lit(settings.effort)).alias("effort"), F.when(has("json_schema"), F.struct(F.lit("json_schema").alias("type"), F.lit("@schema").alias("schema"))).alias("format"))).alias("output_config"),
-        F.when(has("fallbacks"), F.lit("default")).alias("fallbacks"),
+        F.when(has("fallbacks"), F.array(F.lit(FALLBACK_BETA))).alias("betas"), F.when(has("fallbacks"), F.lit("default")).alias("fallbacks"),
     ))
     return calls.withColumn("request", F.coalesce(F.replace(body, F.lit('"@schema"'), schema), body))
 

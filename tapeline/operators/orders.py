@@ -22,6 +22,16 @@ def classify(orders: DataFrame) -> DataFrame:
     return orders.select("*", order_kind().alias("kind"), F.lower("side").alias("side_kind"), is_protective().alias("protective"))
 
 
+def open_only(orders: DataFrame) -> DataFrame:
+    """Orders whose status is open, in any case."""
+    return orders.where(F.lower("status") == "open")
+
+
+def by_id(orders: DataFrame, *ids: str) -> DataFrame:
+    """The orders of the given ids; the filter reaches the scan."""
+    return orders.where(F.col("id").isin(*ids))
+
+
 def pending_symbols(orders: DataFrame) -> DataFrame:
     return orders.where(~is_protective()).select("acct", "symbol").distinct()
 

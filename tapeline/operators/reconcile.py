@@ -22,6 +22,20 @@ def stop_intents(positions: DataFrame, orders: DataFrame, settings: Settings) ->
     return bare.select("acct", "symbol", "qty", "reference", stop_price(F.col("reference"), F.lit(None), settings.hard_stop_loss_percent).alias("stop"), F.lit("SELL").alias("side"), F.lit("STOP").alias("order_type"), F.lit("GTC").alias("time_in_force"), F.lit("Reconciliation stop-loss").alias("note"))
 
 
+def attached_stops(intents: DataFrame, errors: DataFrame | None = None) -> DataFrame:
+    """Stop intents as rows of trade_executions; one with an error in (acct, symbol, error) is FAILED and keeps it in its notes."""
+    rows = intents.withColumn("error", F.lit(None).cast("string")) if errors is None else intents.join(errors.select("acct", "symbol", "error"), ["acct", "symbol"], "left")
+    bad = F.col("error").isNotNull()
+    return rows.select("acct", F.col("symbol").alias("ticker"), "side", "qty", "order_type", F.when(bad, "FAILED").otherwise("SUBMITTED").alias("status"), "stop", F.when(bad, F.concat("note", F.lit(" | "), "error")).otherwise(F.col("note")).alias("execution_notes"))
+
+
+def attached_counts(accounts: DataFrame, attached: DataFrame) -> DataFrame:
+    """One row per account: how many stops were attached, and the event's text."""
+    n = attached.groupBy("acct").agg(F.count_if(F.col("status") == "SUBMITTED").alias("attached"))
+    out = accounts.select("acct").join(n, "acct", "left").withColumn("attached", F.coalesce("attached", F.lit(0)).cast("long"))
+    return out.select("acct", "attached", F.format_string("Attached %d stop-loss order(s)", "attached").alias("details"))
+
+
 def position_status(positions: DataFrame, orders: DataFrame) -> DataFrame:
     """One formatted line per position."""
     shield = protected_symbols(orders).withColumn("shield", F.lit("protected"))

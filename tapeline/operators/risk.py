@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeline.functions.scalars import exact_round, money, plain, safe_double
+from tapeline.functions.scalars import exact_round, money, number_text, plain, safe_double
 from tapeline.sources.settings import Settings
 
 
@@ -34,8 +34,8 @@ def guards(settings: Settings) -> list[tuple[str, Column, Column, Column]]:
         ("G4", c("pending"), text("Duplicate guard: Pending order already exists for ", ticker), none),
         ("G5", sell & ~c("held"), text("Cannot SELL: No active position held in ", ticker), none),
         ("G6", sell & held_qty.isNull(), text("Cannot SELL: Unreadable quantity on ", ticker, " position"), none),
-        ("G7", sell & (held_qty <= 0), text("Cannot SELL: ", ticker, " position is not long (", held_qty.cast("string"), " shares)"), none),
-        ("G8", sell, text("Approved SELL of existing position (", held_qty.cast("string"), " shares)"), held_qty),
+        ("G7", sell & (held_qty <= 0), text("Cannot SELL: ", ticker, " position is not long (", number_text(held_qty), " shares)"), none),
+        ("G8", sell, text("Approved SELL of existing position (", number_text(held_qty), " shares)"), held_qty),
         ("G9", c("conviction_score") < least, text("Conviction ", plain(c("conviction_score")), f" is below minimum threshold {least:.2f}"), none),
         ("G10", allocation <= 0, text("Recommended allocation is 0%"), none),
         ("G11", headroom <= 0, text("Concentration cap: ", ticker, " exposure ($", money(exposure), f") already at the {most * 100:.1f}% NAV limit"), none),
@@ -59,9 +59,16 @@ def validate(candidates: DataFrame, settings: Settings) -> DataFrame:
     return coded.select("*", F.col("guard").isin("G8", "G15").alias("approved"), reason.alias("reason"), qty.alias("approved_qty"))
 
 
+def last_positions(positions: DataFrame, arrival: str = "arrival") -> DataFrame:
+    """One row per account and ticker: the whole row that arrived last. Without a column of that name the order is by content."""
+    row = F.struct("qty", "market_value")
+    by = F.struct(F.col(arrival), row) if arrival in positions.columns else row
+    return positions.groupBy("acct", F.col("symbol").alias("ticker")).agg(F.max_by(row, by).alias("last")).select("acct", "ticker", "last.*")
+
+
 def candidates(decisions: DataFrame, prices: DataFrame, accounts: DataFrame, positions: DataFrame, pending: DataFrame) -> DataFrame:
     """Decisions with price (0 if none), account, holding and pending flag. Sizes of the sides are left to the planner."""
-    held = positions.groupBy("acct", F.col("symbol").alias("ticker")).agg(F.max("qty").alias("qty"), F.max("market_value").alias("market_value")).withColumn("held", F.lit(True))
+    held = last_positions(positions).withColumn("held", F.lit(True))
     waiting = pending.select("acct", F.col("symbol").alias("ticker"), F.lit(True).alias("pending"))
     joined = decisions.join(prices.select("ticker", F.col("price").alias("current_price")), "ticker", "left").join(accounts.select("acct", "nav", "cash"), "acct")
     joined = joined.join(held, ["acct", "ticker"], "left").join(waiting, ["acct", "ticker"], "left")

@@ -49,6 +49,30 @@ def fill_outcomes(entries: DataFrame, settings: Settings) -> DataFrame:
     )
 
 
+def executions(entries: DataFrame, settings: Settings) -> DataFrame:
+    """entries (order_id, ticker, side, qty, current_price, suggested_stop, status, filled_qty, filled_avg_price, submit_error,
+    stop_id, stop_error) -> rows of trade_executions, several per entry, numbered by `step`.
+
+    An entry that could not be submitted is one FAILED row. Else its market order is SUBMITTED; a BUY then gets its stop: SUBMITTED
+    on a fill, FAILED where the stop could not be placed, DEFERRED where nothing filled.
+    """
+    buy, failed = F.upper("side") == "BUY", F.col("submit_error").isNotNull()
+    filled = F.coalesce(F.lower("status") == "filled", F.lit(False))
+    text = lambda c: safe_double(F.when(F.col(c) != "", F.col(c)))
+    amount, price = F.coalesce(text("filled_qty"), F.col("qty")), F.coalesce(text("filled_avg_price"), F.col("current_price"))
+    stop = stop_price(price, F.col("suggested_stop"), settings.hard_stop_loss_percent)
+    note, bad = attached_note(stop, price), F.col("stop_error").isNotNull()
+    line = lambda step, side, qty, kind, ident, status, notes: F.struct(F.lit(step).alias("step"), side.alias("side"), qty.alias("qty"), F.lit(kind).alias("order_type"), ident.alias("order_id"), status.alias("status"), notes.alias("execution_notes"))
+    none, sell = F.lit("NONE"), F.lit("SELL")
+    lines = F.array(
+        F.when(failed, line(1, F.col("side"), F.col("qty"), "FAILED", none, F.lit("FAILED"), F.col("submit_error"))),
+        F.when(~failed, line(1, F.col("side"), F.col("qty"), "MARKET", F.col("order_id"), F.lit("SUBMITTED"), F.concat(F.lit("Entry market order submitted at ~$"), plain(F.col("current_price"))))),
+        F.when(~failed & buy & filled, line(2, sell, amount, "STOP", F.when(bad, none).otherwise(F.col("stop_id")), F.when(bad, "FAILED").otherwise("SUBMITTED"), F.when(bad, F.concat(note, F.lit(" | "), "stop_error")).otherwise(note))),
+        F.when(~failed & buy & ~filled, line(2, sell, F.col("qty"), "STOP", none, F.lit("DEFERRED"), F.lit("Entry unfilled at submission; stop-loss deferred to reconciliation"))),
+    )
+    return entries.select(F.col("order_id").alias("entry_id"), "ticker", F.explode(F.array_compact(lines)).alias("x")).select("entry_id", "ticker", "x.*")
+
+
 def live_fold(found: DataFrame, settings: Settings, order: str) -> DataFrame:
     """Candidates of each account in order, each sized on what the approved ones before it left.
 

@@ -7,17 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeline.functions.scalars import exact_round, plain, snap_round, tickers
+from tapeline.functions.scalars import exact_round, plain, safe_double, snap_round, tickers
 from tapeline.operators import audit, indicators, models, news, orders, reconcile, risk, verdict
 from tapeline.plans import cycle, provider
 from tapeline.sources import adapters
-from tapeline.sources.settings import Settings, catalog, settings_from
+from tapeline.sources.settings import Settings, catalog, catalog_rows, describe_models, settings_from, with_overrides
 
 SETTINGS = Settings()
 CLOCK = "2026-01-02T14:30:00+00:00"
 
 #: Settings as text, some out of bounds or not numbers.
-CONFIG = {"MAX_POSITION_PERCENT": "5.0", "DAILY_LOSS_LIMIT_PERCENT": "0.0", "HARD_STOP_LOSS_PERCENT": "ten percent", "WATCHLIST": " aapl , msft ,, nvda ", "EFFORT": "turbo", "PM_MODEL": "tier_e", "PM_MAX_TOKENS": "12"}
+CONFIG = {"MAX_POSITION_PERCENT": "5.0", "DAILY_LOSS_LIMIT_PERCENT": "0.0", "HARD_STOP_LOSS_PERCENT": "ten percent", "WATCHLIST": " aapl , msft ,, nvda ", "EFFORT": "turbo", "PM_MODEL": catalog_rows()[4][0], "PM_MAX_TOKENS": "12"}
 
 
 def bars_daily(spark: SparkSession, sf: str) -> DataFrame:
@@ -237,6 +237,71 @@ def audit_events(spark: SparkSession, sf: str) -> DataFrame:
     return start.union(stopped).union(ended)
 
 
+def last_positions(spark: SparkSession, sf: str) -> DataFrame:
+    """Holdings reported several times: the last report of each account and ticker stands, whole."""
+    reports = adapters.table(spark, sf, "orders").selectExpr("o_custkey as acct", "o_orderpriority as symbol", "o_orderkey as arrival", "cast(o_orderkey % 40 as string) as qty", "cast(o_totalprice as string) as market_value")
+    out = risk.last_positions(reports)
+    return out.select("acct", "ticker", "qty", safe_double(F.col("market_value")).alias("market_value"))
+
+
+def order_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    return orders.by_id(orders.open_only(adapters.open_orders(spark, sf)), "1", "2", "3", "4", "5", "7", "32", "33", "64", "65", "96", "97", "128").select("id", "acct", "symbol", "qty", F.lower("status").alias("status"))
+
+
+def _entries(spark: SparkSession, sf: str) -> DataFrame:
+    """Entry orders and what became of them; some could not be submitted, some of their stops neither."""
+    return adapters.table(spark, sf, "orders").selectExpr(
+        "cast(o_orderkey as string) as order_id", "o_orderpriority as ticker", "case when o_orderkey % 4 = 3 then 'SELL' else 'BUY' end as side", "cast(1 + o_orderkey % 40 as double) as qty", "cast(50 + o_orderkey % 300 as double) as current_price",
+        "case when o_orderkey % 4 = 0 then null else cast(cast(50 + o_orderkey % 300 as double) * (80 + o_orderkey % 25) / 100 as string) end as suggested_stop",
+        "element_at(array('FILLED', 'filled', 'new', 'canceled', 'expired', 'partially_filled'), cast(o_orderkey % 6 + 1 as int)) as status",
+        "case when o_orderkey % 7 = 0 then '' when o_orderkey % 7 = 1 then null else cast(1 + o_orderkey % 20 as string) end as filled_qty", "case when o_orderkey % 5 = 0 then null else cast(49 + o_orderkey % 300 as string) end as filled_avg_price",
+        "case when o_orderkey % 23 = 0 then 'no route' end as submit_error", "concat('s', cast(o_orderkey as string)) as stop_id", "case when o_orderkey % 29 = 0 then 'held shares' end as stop_error",
+    )
+
+
+def trade_executions(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of trade_executions with their ids, written as the audit table and read back."""
+    rows = cycle.executions(_entries(spark, sf), SETTINGS).withColumns({"at": F.col("entry_id").cast("long"), "timestamp": F.lit(CLOCK)})
+    return audit.stored(audit.numbered(rows, "at", "step"), "trade_executions")
+
+
+def audit_readback(spark: SparkSession, sf: str) -> DataFrame:
+    """Decisions written to the audit table, then its ticker, approval and reason read back."""
+    out = risk.validate(_candidates(spark, sf, live_only=True), SETTINGS)
+    rows = audit.decision_rows(audit.numbered(out, "event_id"), CLOCK, "id")
+    return audit.stored(rows, "agent_decisions").select("id", "ticker", "risk_approved", "risk_reason")
+
+
+def stops_attached(spark: SparkSession, sf: str) -> DataFrame:
+    intents = reconcile.stop_intents(adapters.positions(spark, sf), adapters.open_orders(spark, sf), SETTINGS)
+    errors = intents.where("acct % 19 = 0").select("acct", "symbol", F.lit("no route").alias("error"))
+    return reconcile.attached_counts(adapters.accounts(spark, sf), reconcile.attached_stops(intents, errors))
+
+
+def model_descriptions(spark: SparkSession, sf: str) -> DataFrame:
+    ids = adapters.model_names()
+    pairs = [(a, p, describe_models(with_overrides(SETTINGS, analyst_model=a, pm_model=p))) for a in ids for p in (ids[0], a)]
+    return spark.createDataFrame(pairs, "analyst_model string, pm_model string, line string").distinct()
+
+
+def response_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers of three blocks each, thinking and text, some refused."""
+    c = adapters.table(spark, sf, "conversations").selectExpr(
+        "conv_id", "turn", "array(named_struct('type', 'thinking', 'text', 'hm'), named_struct('type', 'text', 'text', concat(' turn ', cast(turn as string), ' ')), named_struct('type', case when turn % 2 = 0 then 'text' else 'tool' end, 'text', concat('of ', cast(conv_id as string), ' '))) as content",
+        "case when (conv_id + turn) % 7 = 0 then 'refusal' when turn % 3 = 0 then 'max_tokens' when turn % 5 <> 0 then 'end_turn' end as stop_reason",
+    )
+    return models.read_responses(c).select("conv_id", "turn", "refused", "text")
+
+
+def call_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """Calls that are rejected or fail in various orders."""
+    used = adapters.usage(spark, sf).select("conv_id", "turn", "model")
+    calls = models.profiles(used, catalog(spark)).withColumn("features", models.feature_set(F.col("turn") % 2 == 0))
+    answer = lambda i: F.get(F.array(*map(F.lit, ("bad_request", "retry", "bad_request", "ok", "retry", "bad_request", "bad_request"))), ((F.col("conv_id") * 5 + F.col("turn") * (i + 2) + i * i) % 7).cast("int"))
+    out = models.call_outcomes(calls.withColumn("answers", F.array(*[answer(i) for i in range(8)])))
+    return out.select("conv_id", "turn", "model", "status", F.array_join("features_left", ",").alias("features_left"), "attempts", "wait_seconds", "n_requests")
+
+
 def debate_decisions(spark: SparkSession, sf: str) -> DataFrame:
     packets = indicators.market_packet(adapters.bars_wide(spark, sf))
     said = provider.debate(indicators.prompt_context(packets), provider.RuleProvider())
@@ -250,6 +315,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         bars_daily, bars_wide, bars_hourly, indicator_sma, indicator_rsi, indicator_atr, range_52w, market_packet, market_packet_wide, insufficient_history, watchlist_packets, prompt_contexts,
         order_classes, order_lines, account_overview, daily_loss_halt, stop_prices, unprotected_longs, position_status, risk_outcomes, guard_histogram, dry_run_cycle, cycle_counters, live_cycle_fold,
         verdict_extract, verdict_normalized, verdict_fallbacks, news_digest, usage_ledger, usage_summary, unknown_models, feature_flags, degradation_paths, model_routing, model_catalog, config_values,
-        request_rows, fill_outcomes, stop_cancellations, audit_decisions, audit_events, debate_decisions,
+        request_rows, fill_outcomes, stop_cancellations, audit_decisions, audit_events, debate_decisions, last_positions, order_lookup, trade_executions, audit_readback, stops_attached, model_descriptions,
+        response_texts, call_outcomes,
     )
 }

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapeline.sources.settings import catalog_rows
+
 WATCHLIST = " 1-urgent , 2-high ,, 5-Low,1-URGENT, NOPX "
 
 
@@ -101,6 +103,12 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.selectExpr("ticker", "nth", "is_object", "case when nth % 7 <> 2 and not nested then line end as title", "case when not nested then who end as publisher", "case when nested then named_struct('title', case when nth % 7 <> 2 then line end, 'provider', named_struct('displayName', who)) end as content")
 
 
+def model_names() -> list[str]:
+    """The catalog's ids and one that it doesn't have."""
+    return [r[0] for r in catalog_rows()] + ["unlisted-model"]
+
+
 def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
-    return c.selectExpr("conv_id", "turn", "element_at(array('tier_a', 'tier_b', 'tier_c', 'tier_d', 'tier_e', 'tier_f', 'tier_g', 'tier_h', 'tier_x'), cast(conv_id % 9 + 1 as int)) as model", "cast(length(text) as bigint) as input_tokens", "turn * 10 as output_tokens", "case when turn % 2 = 0 then 7L end as cache_read_input_tokens", "case when turn % 3 = 0 then 11L end as cache_creation_input_tokens")
+    names = ", ".join(f"'{n}'" for n in model_names())
+    return c.selectExpr("conv_id", "turn", f"element_at(array({names}), cast(conv_id % {len(model_names())} + 1 as int)) as model", "cast(length(text) as bigint) as input_tokens", "turn * 10 as output_tokens", "case when turn % 2 = 0 then 7L end as cache_read_input_tokens", "case when turn % 3 = 0 then 11L end as cache_creation_input_tokens")

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from tapeline.functions import scalars
 from tapeline.operators import audit, models, news, orders, reconcile
 from tapeline.plans import cycle, provider
-from tapeline.sources.settings import Settings, catalog, read_key_values, settings_from, with_overrides
+from tapeline.operators import risk
+from tapeline.sources.settings import Settings, catalog, catalog_rows, describe_models, read_key_values, settings_from, with_overrides
 
+#: Ids of the catalog, in order; the sixth is the cheaper one, the eighth the plainest.
+IDS = [r[0] for r in catalog_rows()]
 ENTRY = "is_object boolean, title string, publisher string, content struct<title:string,provider:struct<displayName:string>>"
 
 
@@ -31,10 +34,10 @@ def test_scalars(spark):
 def test_settings(spark, tmp_path):
     s = settings_from({"MAX_POSITION_PERCENT": "5.0", "DAILY_LOSS_LIMIT_PERCENT": "0.0", "HARD_STOP_LOSS_PERCENT": "ten percent", "EFFORT": "turbo", "WATCHLIST": " aapl , msft ,, nvda ", "PM_MAX_TOKENS": "3"})
     assert (s.max_position_percent, s.daily_loss_limit_percent, s.hard_stop_loss_percent, s.effort, s.watchlist, s.pm_max_tokens) == (0.50, 0.005, 0.10, "high", ("AAPL", "MSFT", "NVDA"), 1024)
-    roles = settings_from({"MODEL": "tier_f", "PM_MODEL": "tier_e"})
-    assert (roles.analyst_model, roles.pm_model) == ("tier_f", "tier_e")
-    assert [getattr(with_overrides(roles, model="tier_h"), k) for k in ("analyst_model", "pm_model")] == ["tier_h", "tier_h"]
-    assert [getattr(with_overrides(roles, model="tier_h", pm_model="tier_a"), k) for k in ("analyst_model", "pm_model")] == ["tier_h", "tier_a"]
+    roles = settings_from({"MODEL": IDS[5], "PM_MODEL": IDS[4]})
+    assert (roles.analyst_model, roles.pm_model) == (IDS[5], IDS[4])
+    assert [getattr(with_overrides(roles, model=IDS[7]), k) for k in ("analyst_model", "pm_model")] == [IDS[7], IDS[7]]
+    assert [getattr(with_overrides(roles, model=IDS[7], pm_model=IDS[0]), k) for k in ("analyst_model", "pm_model")] == [IDS[7], IDS[0]]
     (tmp_path / "e.env").write_text("# c\n\nA = 'x=1' \nB=\"two\"\nnope\nA=later\n")
     assert {r["key"]: r["value"] for r in read_key_values(spark, str(tmp_path / "e.env")).collect()} == {"A": "x=1", "B": "two"}
 
@@ -77,25 +80,25 @@ def test_overview_is_strict(spark):
 
 
 def test_usage(spark):
-    u = spark.createDataFrame([("tier_a", 600_000, 100_000, 300_000, 100_000), ("nobody", 10**6, 10**6, None, None), ("tier_h", None, 1000, None, None)], "model string, input_tokens long, output_tokens long, cache_read_input_tokens long, cache_creation_input_tokens long")
+    u = spark.createDataFrame([(IDS[0], 600_000, 100_000, 300_000, 100_000), ("nobody", 10**6, 10**6, None, None), (IDS[7], None, 1000, None, None)], "model string, input_tokens long, output_tokens long, cache_read_input_tokens long, cache_creation_input_tokens long")
     got = {r["model"]: r for r in models.ledger(u, catalog(spark), "model").collect()}
-    assert got["tier_a"]["cost_usd"] == pytest.approx(7.50) and got["nobody"]["cost_usd"] == 0.0 and got["nobody"]["calls"] == 1
+    assert got[IDS[0]]["cost_usd"] == pytest.approx(7.50) and got["nobody"]["cost_usd"] == 0.0 and got["nobody"]["calls"] == 1
     assert [r["model"] for r in models.unknown_models(u, catalog(spark)).collect()] == ["nobody"]
     assert sum(r["cost_usd"] for r in models.priced(u, catalog(spark)).collect()) == pytest.approx(7.505)
     assert models.ledger(u, catalog(spark)).select(models.summary_line().alias("s")).first()["s"] == "3 API calls | 2,000,000 in / 1,101,000 out tokens | ~$7.50"
 
 
 def test_features_and_requests(spark):
-    m = models.profiles(spark.createDataFrame([("tier_a",), ("tier_h",), ("new",)], "model string"), catalog(spark)).withColumn("features", models.feature_set(F.lit(True)))
+    m = models.profiles(spark.createDataFrame([(IDS[0],), (IDS[7],), ("new",)], "model string"), catalog(spark)).withColumn("features", models.feature_set(F.lit(True)))
     got = {r["model"]: r for r in m.select("model", "features", models.next_to_drop(F.col("features")).alias("drop"), models.degradation_path(F.col("features")).alias("path")).collect()}
-    assert got["tier_a"]["features"] == ["thinking", "effort", "fallbacks", "json_schema"] and got["tier_a"]["drop"] == "fallbacks"
+    assert got[IDS[0]]["features"] == ["thinking", "effort", "fallbacks", "json_schema"] and got[IDS[0]]["drop"] == "fallbacks"
     assert got["new"]["features"] == ["json_schema"] and got["new"]["path"] == [["json_schema"], []]
-    assert [len(x) for x in got["tier_a"]["path"]] == [4, 3, 2, 1, 0] and got["tier_a"]["path"][3] == ["thinking"]
+    assert [len(x) for x in got[IDS[0]]["path"]] == [4, 3, 2, 1, 0] and got[IDS[0]]["path"][3] == ["thinking"]
     calls = m.withColumns({"system": F.lit("s"), "user": F.lit('say "hi"'), "max_tokens": F.lit(8000)})
     body = {r["model"]: json.loads(r["request"]) for r in models.requests(calls, Settings(effort="max")).collect()}
-    assert body["tier_a"]["thinking"] == {"type": "adaptive"} and body["tier_a"]["output_config"]["effort"] == "max" and body["tier_a"]["fallbacks"] == "default"
-    assert body["tier_a"]["output_config"]["format"]["schema"]["additionalProperties"] is False and body["tier_a"]["messages"] == [{"role": "user", "content": 'say "hi"'}]
-    assert "thinking" not in body["tier_h"] and "fallbacks" not in body["tier_h"] and "effort" not in body["tier_h"]["output_config"]
+    assert body[IDS[0]]["thinking"] == {"type": "adaptive"} and body[IDS[0]]["output_config"]["effort"] == "max" and body[IDS[0]]["fallbacks"] == "default"
+    assert body[IDS[0]]["output_config"]["format"]["schema"]["additionalProperties"] is False and body[IDS[0]]["messages"] == [{"role": "user", "content": 'say "hi"'}]
+    assert "thinking" not in body[IDS[7]] and "fallbacks" not in body[IDS[7]] and "effort" not in body[IDS[7]]["output_config"]
 
 
 def test_responses(spark):
@@ -174,3 +177,39 @@ def test_streaming_bars(spark, tmp_path):
     ingest(hourly_bars(stream, "event_type", "ts", "value", "event_id"), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out")).orderBy("bar_date").collect()
     assert [(r["open"], r["close"], r["volume"]) for r in got] == [(0.0, 1.0, 2), (2.0, 2.0, 1)]
+
+
+def test_ids_over_several_ranges(spark):
+    """Dense, unique and in order over many ranges, again and again, and with negative and large keys."""
+    rows = spark.range(60_000).selectExpr("id * id * 7919 % 1000003 - 500000 as k", "id as v").dropDuplicates(["k"]).repartition(9)
+    want = {r["k"]: i for i, r in enumerate(rows.orderBy("k").collect(), 1)}
+    for per_range in (3_000, 9_000, 100_000):
+        assert {r["k"]: r["id"] for r in audit.numbered(rows, "k", per_range=per_range).collect()} == want
+
+
+def test_what_is_not_finite_stays(spark):
+    r = spark.range(1).select(scalars.exact_round(F.lit(float("inf"))).alias("a"), scalars.exact_round(F.lit(float("-inf"))).alias("b"), scalars.exact_round(F.lit(float("nan"))).alias("c"), scalars.exact_round(F.lit(None).cast("double")).alias("d"), scalars.plain(F.lit(float("inf"))).alias("e"), scalars.money(F.lit(-1234.5)).alias("f")).first()
+    assert r["a"] == float("inf") and r["b"] == float("-inf") and r["c"] != r["c"] and r["d"] is None and r["e"] == "inf" and r["f"] == "-1,234.50"
+
+
+def test_number_text(spark):
+    xs = [0.0, 1.0, 1234.5, 1e7, 12345678.9, 123456789012.25, 0.0005, -1e9, 0.001]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", scalars.number_text(F.col("x")).alias("t")).collect()
+    assert all(r["t"] == repr(r["x"]) for r in got)
+
+
+def test_last_report_wins_whole(spark):
+    rows = [(1, "A", 1, "9", "900.0"), (1, "A", 3, "10", "50.0"), (1, "A", 2, "95", "9500.0"), (2, "A", 1, None, None)]
+    got = {(r["acct"], r["ticker"]): (r["qty"], r["market_value"]) for r in risk.last_positions(spark.createDataFrame(rows, "acct long, symbol string, arrival long, qty string, market_value string")).collect()}
+    assert got == {(1, "A"): ("10", "50.0"), (2, "A"): (None, None)}
+
+
+def test_descriptions():
+    assert describe_models(Settings()) == f"{IDS[0]} (all agents), effort=high"
+    assert describe_models(with_overrides(Settings(), analyst_model=IDS[5], effort="low")) == f"analysts={IDS[5]}, PM={IDS[0]}, effort=low"
+
+
+def test_catalog_is_a_parameter(spark, tmp_path):
+    (tmp_path / "c.csv").write_text("model,label,input_price,output_price,context,adaptive_thinking,effort,server_side_fallbacks\nm,M,1,2,9K,true,false,false\n")
+    u = spark.createDataFrame([("m", 10**6, 10**6, None, None)], "model string, input_tokens long, output_tokens long, cache_read_input_tokens long, cache_creation_input_tokens long")
+    assert models.ledger(u, catalog(spark, str(tmp_path / "c.csv"))).first()["cost_usd"] == 3.0

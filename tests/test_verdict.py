@@ -22,8 +22,8 @@ def test_extract_behind_many_fences(spark):
 #: object, action, conviction, allocation, target, stop, risks, usable
 CASES = [
     ('{"action": "buy", "conviction_score": 0.5, "allocation_percentage": 0.08}', "HOLD", 0.5, 0.0, 100.0, 90.0, [], True),
-    ('{"action": "ACCUMULATE", "conviction_score": 0.9, "allocation_percentage": 0.05}', "HOLD", 0.9, 0.05, 100.0, 90.0, [], True),
-    ('{"action": "BUY", "conviction_score": 4.2, "allocation_percentage": 3.0}', "BUY", 1.0, 1.0, 100.0, 90.0, [], True),
+    ('{"action": "TRIM", "conviction_score": 0.9, "allocation_percentage": 0.05}', "HOLD", 0.9, 0.05, 100.0, 90.0, [], True),
+    ('{"action": "BUY", "conviction_score": 7.5, "allocation_percentage": 2.5}', "BUY", 1.0, 1.0, 100.0, 90.0, [], True),
     ('{"action": "BUY", "conviction_score": 0.8, "allocation_percentage": 0.05}', "BUY", 0.8, 0.05, 100.0, 90.0, [], True),
     ('{"action": "SELL", "conviction_score": 0.1, "allocation_percentage": 0}', "SELL", 0.1, 0.0, 100.0, 90.0, [], True),
     ('{"action": "BUY", "conviction_score": " 0.9 ", "allocation_percentage": true, "key_risks": "one", "target_price": 120, "stop_loss_price": 91.5, "extra": {}}', "BUY", 0.9, 1.0, 120.0, 91.5, ["one"], True),
