@@ -13,7 +13,8 @@ As n(t, e) <= n(e), a term passes for an entity only if n(t) is at most a bound
 left before terms and entities are paired, which changes no result. Entities of the same documents have the same
 counts and are paired as one group, so a text full of values of its own has one group. Frequent keys are looked up by broadcast.
 
-Patterns use possessive repeats and start only where a run of their characters starts, so neither the stack
+Offsets are prefix sums over blocks and texts are cut in chunks (arrays.py), so a text full of hits takes little more time than
+as long a text without. Patterns use possessive repeats and start only where a run of their characters starts, so neither the stack
 nor the time grows with the square of a long run.
 
 Cases: a null or empty text has no spans. Rows that repeat an id and a text have equal spans, and count as one
@@ -26,6 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tapeline.llm.arrays import chunks, let, piece, running_max, running_sum
 from tapeline.llm.common import row_key, written
 
 KINDS = ("email", "ip", "card", "phone", "term", "removed")
@@ -47,16 +49,13 @@ TERM = rf"\p{{L}}{{{LETTERS},}}+"
 
 def located(text: Column, pattern: str) -> Column:
     """Matches as array<struct<start, stop, value>>: what lies between them is split off and measured."""
-    between, found = F.split(text, F.lit(pattern), -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,stop:int,value:string>>)").alias("out"))
+    gaps = F.transform(F.split(text, F.lit(pattern), -1), F.length)
 
-    def step(acc: Column, x: Column) -> Column:
-        a = acc["at"] + F.length(x["gap"])
-        b = a + F.length(x["hit"])
-        return F.struct(b.alias("at"), F.concat(acc["out"], F.array(F.struct(a.alias("start"), b.alias("stop"), x["hit"].alias("value")))).alias("out"))
+    def placed(found: Column, between: Column) -> Column:
+        steps = F.transform(found, lambda h, i: F.get(between, i) + F.length(h))
+        return let(running_sum(steps), lambda ahead: F.transform(found, lambda h, i: F.struct((F.get(ahead, i) + F.get(between, i)).alias("start"), (F.get(ahead, i) + F.get(between, i) + F.length(h)).alias("stop"), h.alias("value"))))
 
-    zipped = F.filter(F.arrays_zip(between.alias("gap"), found.alias("hit")), lambda x: x["hit"].isNotNull())
-    return F.aggregate(zipped, start, step, lambda acc: acc["out"])
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: let(gaps, lambda between: placed(found, between)))
 
 
 def _digits(value: Column) -> Column:
@@ -86,17 +85,21 @@ def base_spans(text: Column) -> Column:
     ))
 
 
-def outside(text: Column, spans: Column) -> Column:
-    """text with what lies in spans blanked; positions stay."""
+def rewritten(text: Column, spans: Column, instead) -> Column:
+    """text with instead(span, end of what was rewritten before it) in place of each span; spans by start."""
+
+    def pieces(parts: Column, ends: Column) -> Column:
+        before = F.transform(spans, lambda s, i: F.concat(piece(parts, F.get(ends, i), F.greatest(s["start"], F.get(ends, i))), instead(s, F.get(ends, i))))
+        last = F.array_max(F.transform(spans, lambda s: s["stop"]))
+        return F.concat(F.array_join(before, ""), piece(parts, last, F.length(text)))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substr(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        blank = F.repeat(F.lit(" "), F.greatest(s["stop"] - F.greatest(s["start"], acc["at"]), F.lit(0)))
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.concat(acc["out"], F.array(gap, blank)).alias("out"))
+    ends = running_max(F.transform(spans, lambda s: s["stop"]))
+    return F.when(F.size(spans) > 0, let(chunks(text), lambda parts: let(ends, lambda e: pieces(parts, e)))).otherwise(text)
 
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
-    blanked = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1)))
-    return F.when(F.size(spans) > 0, blanked).otherwise(text)
+
+def outside(text: Column, spans: Column) -> Column:
+    """text with what lies in spans blanked; positions stay."""
+    return rewritten(text, spans, lambda s, end: F.repeat(F.lit(" "), F.greatest(s["stop"] - F.greatest(s["start"], end), F.lit(0))))
 
 
 def words_of(text: Column) -> Column:
@@ -105,18 +108,9 @@ def words_of(text: Column) -> Column:
 
 def occurrences(text: Column, masked: Column, gone: Column) -> Column:
     """Spans, as in base_spans, of every occurrence of the masked terms; those in gone are removed."""
-    between, found = F.split(text, F.lit(TERM), -1), F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,kind:int,stop:int,value:string>>)").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        a, term = acc["at"] + F.length(x["gap"]), F.lower(x["hit"])
-        b = a + F.length(x["hit"])
-        kind = F.when(F.array_contains(gone, term), KINDS.index("removed")).otherwise(KINDS.index("term"))
-        more = F.array(F.struct(a.alias("start"), kind.alias("kind"), b.alias("stop"), term.alias("value")))
-        return F.struct(b.alias("at"), F.when(F.array_contains(masked, term), F.concat(acc["out"], more)).otherwise(acc["out"]).alias("out"))
-
-    zipped = F.filter(F.arrays_zip(between.alias("gap"), found.alias("hit")), lambda x: x["hit"].isNotNull())
-    return F.aggregate(zipped, start, step, lambda acc: acc["out"])
+    hits = F.filter(F.transform(located(text, TERM), lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), F.lower(x["value"]).alias("term"))), lambda x: F.array_contains(masked, x["term"]))
+    kind = lambda x: F.when(F.array_contains(gone, x["term"]), KINDS.index("removed")).otherwise(KINDS.index("term"))
+    return F.transform(hits, lambda x: F.struct(x["start"].alias("start"), kind(x).alias("kind"), x["stop"].alias("stop"), x["term"].alias("value")))
 
 
 def span_text(spans: Column) -> Column:
@@ -163,16 +157,27 @@ def disclosing_terms(found: DataFrame) -> DataFrame:
     return spots.groupBy("key").agg(F.collect_set("term").alias("masked"), F.collect_set(F.when(F.col("removed"), F.col("term"))).alias("gone"))
 
 
-def find(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, content (a key of its text), base and spans (arrays as in base_spans)."""
-    texts = docs.select(F.col(ident).alias("doc_id"), row_key(text).alias("content"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+def found_spans(docs: DataFrame, ident: str, text: str, keep: list[str] | None = None) -> DataFrame:
+    """(doc_id, content, key, spans, words, clear), written once, with the columns in keep as `row`."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row") if keep else F.lit(None).alias("row")
+    texts = docs.select(F.col(ident).alias("doc_id"), row_key(text).alias("content"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), whole)
     key = F.concat(F.col("content").cast("string"), F.coalesce(F.concat(F.lit(":"), F.col("doc_id").cast("string")), F.lit("")))
     based = texts.withColumn("key", key).withColumn("spans", base_spans(F.col("text"))).withColumn("clear", outside(F.col("text"), F.col("spans")))
-    found = written(based.select("doc_id", "content", "key", "spans", words_of(F.col("clear")).alias("words"), F.when(F.size("spans") > 0, F.col("clear")).alias("clear")), "pii-found")
+    out = ["doc_id", "content", "key", "spans", words_of(F.col("clear")).alias("words"), F.when(F.size("spans") > 0, F.col("clear")).alias("clear")]
+    return written(based.select(*out, *(["row"] if keep else [])), "pii-found")
+
+
+def all_spans() -> Column:
+    """Base spans and those of the terms of `masked`, in order."""
+    return F.when(F.col("masked").isNull(), F.col("spans")).otherwise(F.sort_array(F.concat("spans", occurrences(F.col("clear"), F.col("masked"), F.col("gone")))))
+
+
+def find(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, content (a key of its text), base and spans (arrays as in base_spans)."""
+    found = found_spans(docs, ident, text)
     out = ["doc_id", "content", F.col("spans").alias("base")]
     told = found.where(F.size("spans") > 0).join(disclosing_terms(found), "key", "left")
-    more = F.when(F.col("masked").isNull(), F.col("spans")).otherwise(F.sort_array(F.concat("spans", occurrences(F.col("clear"), F.col("masked"), F.col("gone")))))
-    return found.where(F.size("spans") == 0).select(*out, "spans").unionByName(told.select(*out, more.alias("spans")))
+    return found.where(F.size("spans") == 0).select(*out, "spans").unionByName(told.select(*out, all_spans().alias("spans")))
 
 
 def digests(found: DataFrame) -> DataFrame:
@@ -185,21 +190,16 @@ def digests(found: DataFrame) -> DataFrame:
 def sanitised(text: Column, spans: Column) -> Column:
     """text with each span's placeholder; a span that starts within an earlier one adds none."""
     holders = F.array(*[F.lit(PLACEHOLDERS[k]) for k in KINDS])
-
-    def step(acc: Column, s: Column) -> Column:
-        apart = s["start"] >= acc["at"]
-        piece = F.concat(F.substr(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.get(holders, s["kind"]))
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.when(apart, F.concat(acc["out"], F.array(piece))).otherwise(acc["out"]).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
-    return F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1)))
+    return rewritten(text, spans, lambda s, end: F.when(s["start"] >= end, F.get(holders, s["kind"])).otherwise(F.lit("")))
 
 
 def sanitise(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with the text sanitised, and n_chars, if there, with it; every other column, and every row without spans, as it was."""
-    spans = find(docs, ident, text).where(F.size("spans") > 0).select(F.col("doc_id").alias("__d"), F.col("content").alias("__c"), F.col("spans").alias("__spans")).dropDuplicates(["__d", "__c"])
-    joined = docs.withColumn("__content", row_key(text)).join(spans, F.col(ident).eqNullSafe(F.col("__d")) & (F.col("__content") == F.col("__c")), "left")
-    new = F.when(F.col("__spans").isNull(), F.col(text)).otherwise(sanitised(F.col(text), F.col("__spans")))
-    joined = joined.withColumn("__new", new)
-    length = F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("__new").cast("long")) if "n_chars" in docs.columns else None
-    return joined.select(*[F.col("__new").alias(c) if c == text else length.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    """docs with the text sanitised, and n_chars, if there, with it; every other column, and every row without spans, as it was.
+
+    Only rows with spans meet the terms found for them; all other texts stay where they are.
+    """
+    found = found_spans(docs, ident, text, docs.columns)
+    told = found.where(F.size("spans") > 0).join(disclosing_terms(found).withColumnRenamed("key", "__told"), F.col("key") == F.col("__told"), "left")
+    told = told.withColumn("__new", sanitised(F.col(f"row.`{text}`").cast("string"), all_spans()))
+    new = lambda c: F.col("__new").alias(c) if c == text else F.length("__new").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c)
+    return found.where(F.size("spans") == 0).select("row.*").unionByName(told.select(*[new(c) for c in docs.columns]))
