@@ -2,38 +2,33 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapeline.sources.interim import shared_dir, written
+
 #: Rows and bytes of one Arrow batch, so that a Python worker holds a bounded slice of long texts.
 BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
 
 #: Separators between words: space and the ASCII controls tab to carriage return (fixed values).
 WORD = r"[^\x20\x09-\x0D]+"
 
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "WORD", "log_softmax", "looked_up", "read_table", "row_key", "shared_dir", "small_batches", "written"]
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where that is unset (tests), one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.tapeline.shared.dir", "")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tapeline-")
-        spark.conf.set("spark.tapeline.shared.dir", found)
-    return found.rstrip("/")
-
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], n: str, frequent: float, fits: Column | None = None) -> DataFrame:
+    """rows with the row of table that has the same keys and fits; keys with n above `frequent` are broadcast, so no task gets all rows of one.
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage is cut, lost executors cost only a reread."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tapeline/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    n counts a key's rows, so there are at most all rows / frequent such keys.
+    """
+    fits = F.lit(True) if fits is None else fits
+    often = table.where(F.col(n) > frequent)
+    rest = rows.join(F.broadcast(often.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(often.where(fits)), keys).unionByName(rest.join(table.where(fits & (F.col(n) <= frequent)), keys))
 
 
 def small_batches(spark: SparkSession) -> None:

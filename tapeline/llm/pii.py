@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeline.llm.arrays import chunks, let, piece, running_max, running_sum
-from tapeline.llm.common import row_key, written
+from tapeline.llm.common import looked_up, row_key, written
 
 KINDS = ("email", "ip", "card", "phone", "term", "removed")
 PLACEHOLDERS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]", "removed": ""}
@@ -124,14 +124,6 @@ def most_frequent(n_e: Column, documents: int) -> Column:
     return (n_e + PRIOR * base) * F.pow(base, F.lit(GENERALISE - 1)) - PRIOR + 1
 
 
-def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], n: str, frequent: float, fits: Column | None = None) -> DataFrame:
-    """rows with the row of table that has the same keys and fits; keys with n above `frequent` are broadcast, so no task gets all rows of one."""
-    fits = F.lit(True) if fits is None else fits
-    often = table.where(F.col(n) > frequent)
-    rest = rows.join(F.broadcast(often.select(*keys)), keys, "left_anti")
-    return rows.join(F.broadcast(often.where(fits)), keys).unionByName(rest.join(table.where(fits & (F.col(n) <= frequent)), keys))
-
-
 def disclosing_terms(found: DataFrame) -> DataFrame:
     """(key, masked, gone): per document the terms above the threshold for any of its entities. found: (key, spans, words)."""
     documents = max(2, found.count())
