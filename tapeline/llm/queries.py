@@ -84,6 +84,43 @@ from sets s join least_of on d = s.doc_id
 """
 
 
+def _url_models() -> str:
+    """Rules, then the Markov models of both halves and of all, order by order; the same steps as urls.judge."""
+    sides, n = urls.SIDES, urls.ORDER + 1
+    rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in urls.RULES)
+    inner = "".join(c for c in urls.ALPHABET if c not in "^$~-")
+    weigh = lambda s: f"sum(case when r = {int(s.startswith('rejected'))} and half <> {s[-1]} then n else 0 end) as {s}"
+    parts = [
+        "links as (select page_id, case when strpos(url, '://') > 0 then nullif(substr(url, strpos(url, '://') + 3), '') end as rest from pages)",
+        "parsed as (select page_id, rest, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) as path from links)",
+        f"rules(h, p, v) as (values {rules})",
+        "ruled as (select page_id, rest, host, path, (select h || p from rules where (host = h or ends_with(host, '.' || h)) and starts_with(path, p) order by length(h || p) desc limit 1) as rule from parsed)",
+        f"""folded as (select page_id, host, path, rule, v as by_rule, '{'^' * urls.ORDER}' || regexp_replace(lower(case when regexp_matches(rest, '[^\\x00-\\x7F]') then array_to_string(list_transform(regexp_extract_all(rest, '(?s).'), lambda c: case when regexp_matches(c, '^[\\x00-\\x7F]$') then c else url_encode(c) end), '') else rest end), '[^{inner}-]', '~', 'g') || '$' as chars from ruled left join rules on rule = h || p)""",
+        "urls as (select chars, max(case when by_rule = 'block' then 1 else 0 end) as r, count(*) as n, ascii(substr(md5(min(host)), 1, 1)) % 2 as half from folded where chars is not null group by chars)",
+        f"spots as (select chars, r, n, half, substr(chars, i, {n}) as w from (select *, unnest(range(1, length(chars) - {urls.ORDER} + 1)) as i from urls))",
+        f"counted as (select w, {', '.join(map(weigh, sides))} from spots group by w)",
+        f"q0 as (select w, {', '.join(f'1.0::double / {len(urls.ALPHABET)} as p_{s}' for s in sides)} from counted)",
+    ]
+    for k in range(n):
+        parts += [
+            f"g{k} as (select substr(w, {n - k}) as g, {', '.join(f'sum({s})::double as {s}' for s in sides)} from counted group by 1)",
+            f"t{k} as (select substr(g, 1, {k}) as c, {', '.join(f'sum({s}) as n_{s}, count_if({s} > 0)::double as t_{s}' for s in sides)} from g{k} group by 1)",
+            f"q{k + 1} as (select w, {', '.join(f'case when n_{s} > 0 then ({s} + t_{s} * p_{s}) / (n_{s} + t_{s}) else p_{s} end as p_{s}' for s in sides)} from q{k} join g{k} on g = substr(w, {n - k}) join t{k} on c = substr(g, 1, {k}))",
+        ]
+    ratio = lambda i: f"ln(p_rejected_{i}) - ln(p_accepted_{i})"
+    parts += [
+        f"scored as (select chars, r, n, avg(case when half = 0 then {ratio(0)} else {ratio(1)} end) as score from spots join q{n} using (w) group by chars, r, n)",
+        f"steps as (select cast(ceil(least(greatest(score, -{urls.TOP_SCORE}), {urls.TOP_SCORE}) / {urls.STEP}) as bigint) as step, sum(case when r = 0 then n else 0 end) as a, sum(case when r = 1 then n else 0 end) as b from scored group by 1)",
+        "sums as (select sum(a) as a, sum(b) as b from steps)",
+        "tails as (select c.c, coalesce(sum(s.a), 0) / (select a from sums) as a, coalesce(sum(s.b), 0) / (select b from sums) as b from (select distinct greatest(0, step) as c from steps union select 0) c left join steps s on s.step > c.c group by c.c)",
+        f"best as (select * from tails where (select a > 0 and b > 0 from sums) and a <= {urls.SPARE} order by c limit 1)",
+        f"level as (select coalesce((select c from best) * {urls.STEP}, 'infinity'::double) as t, (select a from best) as a, (select b from best) as b)",
+    ]
+    return "with " + ",\n".join(parts) + """
+select page_id, host, path, rule, round(coalesce(score, 0.0), 6) as score, coalesce(by_rule, case when coalesce(score > t, false) then 'block' else 'allow' end) as verdict, t as threshold, a::double as held_out_false, b::double as held_out_caught
+from folded left join scored using (chars), level"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The other operators fit models, schedules or byte formats; their tests use brute force and round trips."""
-    return {"op7_minhash": NEAR_DUPLICATES}
+    return {"op2_url_filter": _url_models(), "op7_minhash": NEAR_DUPLICATES}
