@@ -86,7 +86,7 @@ from sets s join least_of on d = s.doc_id
 
 def _url_models() -> str:
     """Rules, then the Markov models of both halves and of all, order by order; the same steps as urls.judge."""
-    sides, n = urls.SIDES, urls.ORDER + 1
+    sides, n = urls.SIDES[:4], urls.ORDER + 1
     rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in urls.RULES)
     inner = "".join(c for c in urls.ALPHABET if c not in "^$~-")
     weigh = lambda s: f"sum(case when r = {int(s.startswith('rejected'))} and half <> {s[-1]} then n else 0 end) as {s}"

@@ -9,8 +9,8 @@ Training classes are what is given: the verdicts of a table of labelled URLs, or
 no rule blocks counts as accepted. The threshold is calibrated on scores of hosts that the scoring model has not seen:
 hosts fall into two halves by hash, each half is scored by the models of the other, and the threshold is the least, in steps of
 STEP and not under 0, above which at most SPARE of the accepted URLs lie. The result names the shares of
-accepted and rejected URLs above it (`held_out_false`, `held_out_caught`). These are the scores that decide, too, so no URL
-is judged by models that learnt from its own host.
+accepted and rejected URLs above it (`held_out_false`, `held_out_caught`). Where the rules teach, these scores decide, too, as each URL without a rule has itself taught
+what is accepted; where a table does, models of both halves decide.
 
 The text of the model is all behind `://` in lower case, the query included; other than ASCII characters are percent-encoded, those still outside
 a fixed ALPHABET fold to `~`: the windows of ORDER + 1 characters are a table of at most len(ALPHABET) ** (ORDER + 1) rows, whatever the
@@ -39,8 +39,8 @@ SPARE, STEP, TOP_SCORE, BROADCAST_ROWS = 0.005, 0.01, 20.0, 500_000
 #: The rules of the query: host, path, verdict.
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 
-#: Counts of a window by class and model; model 0 judges the first half and knows the other.
-SIDES = ("accepted_0", "rejected_0", "accepted_1", "rejected_1")
+#: Counts of a window by class and model: model 0 judges the first half and knows the other, model 2 knows both.
+SIDES = ("accepted_0", "rejected_0", "accepted_1", "rejected_1", "accepted_2", "rejected_2")
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -100,7 +100,7 @@ def window_scores(counted: DataFrame, of: tuple[str, ...] = ("",)) -> DataFrame:
 
 def threshold(scored: DataFrame) -> tuple[float, float | None, float | None]:
     """Threshold, and shares of held-out accepted and rejected URLs above it. Scores come to the driver as at most 2 TOP_SCORE / STEP + 1 counts."""
-    place = F.ceil(F.least(F.greatest("score", F.lit(-TOP_SCORE)), F.lit(TOP_SCORE)) / STEP).alias("step")
+    place = F.ceil(F.least(F.greatest("held_out", F.lit(-TOP_SCORE)), F.lit(TOP_SCORE)) / STEP).alias("step")
     tally = scored.where("training").groupBy(place).agg(F.sum(F.col("n") * (1 - F.col("rejected"))).alias("a"), F.sum(F.col("n") * F.col("rejected")).alias("r")).collect()
     every = {k: sum(x[k] for x in tally) for k in "ar"}
     if not every["a"] or not every["r"]:
@@ -133,16 +133,17 @@ def judge(pages: DataFrame, ident: str = "page_id", url: str = "url", rules: tup
     # halves of hosts by the first digit of a digest, which other engines have too
     half = (F.ascii(F.substr(F.md5("host"), F.lit(1), F.lit(1))) % 2).alias("half")
     urls = written(urls.select("chars", "rejected", "n", "training", half), "url-chars")
-    weight = lambda side, k: F.when(F.col("rejected") == int(side == "rejected"), F.when(F.col("half") != k, F.col("n")))
-    counts = [F.coalesce(F.sum(weight(s[:-2], int(s[-1]))), F.lit(0)).alias(s) for s in SIDES]
+    weight = lambda side, k: F.when(F.col("rejected") == int(side == "rejected"), F.when(F.lit(k == 2) | (F.col("half") != k), F.col("n")))
+    models = ("_0", "_1") if labelled is None else ("_0", "_1", "_2")
+    counts = [F.coalesce(F.sum(weight(s[:-2], int(s[-1]))), F.lit(0)).alias(s) for s in SIDES if s[-2:] in models]
     # windows of URLs that don't train are there too, with counts of 0
     counted = windows(urls, ["rejected", F.when(F.col("training"), F.col("n")).otherwise(0).alias("n"), "half"]).groupBy("window").agg(*counts)
-    ratios = written(window_scores(written(counted, "url-windows"), ("_0", "_1")), "url-ratios")
+    ratios = written(window_scores(written(counted, "url-windows"), models), "url-ratios")
     if ratios.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         ratios = F.broadcast(ratios)
     scored = windows(urls, ["chars", "rejected", "n", "training", "half"]).join(ratios, "window")
     own = F.when(F.col("half") == 0, F.col("ratio_0")).otherwise(F.col("ratio_1"))
-    scored = written(scored.groupBy("chars", "rejected", "n", "training").agg(F.avg(own).alias("score")), "url-scores")
+    scored = written(scored.groupBy("chars", "rejected", "n", "training").agg(F.avg(own).alias("held_out"), F.avg(own if labelled is None else F.col("ratio_2")).alias("score")), "url-scores")
     limit, false, caught = threshold(scored)
     total = scored.agg(F.sum("n")).first()[0] or 0
     found = looked_up(rows.where("chars is not null"), scored.select("chars", "n", "score"), ["chars"], "n", total / 1000).unionByName(rows.where("chars is null").withColumns({"n": F.lit(0).cast("long"), "score": F.lit(0.0)}))
