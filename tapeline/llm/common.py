@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +16,7 @@ BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
 #: Separators between words: space and the ASCII controls tab to carriage return (fixed values).
 WORD = r"[^\x20\x09-\x0D]+"
 
-__all__ = ["BATCH_BYTES", "BATCH_ROWS", "WORD", "log_softmax", "looked_up", "read_table", "row_key", "shared_dir", "small_batches", "written"]
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "WORD", "log_softmax", "looked_up", "pruned_by_keys", "read_table", "row_key", "row_name", "session_settings", "shared_dir", "small_batches", "written"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +34,35 @@ def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], n: str, freque
     return rows.join(F.broadcast(often.where(fits)), keys).unionByName(rest.join(table.where(fits & (F.col(n) <= frequent)), keys))
 
 
+@contextmanager
+def session_settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Settings for the jobs run inside, put back afterwards. Names with __ for dots."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def pruned_by_keys(spark: SparkSession):
+    """Within: joins with a written table of a few keys first drop rows of the other side by Spark's runtime Bloom filter, which
+    is at most 8 MB whatever the input; where the table is larger than the setting, no filter is made and the join stays as it is."""
+    bloom = "spark__sql__optimizer__runtime__bloomFilter__"
+    return session_settings(spark, **{bloom + "enabled": "true", bloom + "applicationSideScanSizeThreshold": "0", bloom + "creationSideThreshold": "512MB"})
+
+
+def row_name(ident: str, *cols: str) -> Column:
+    """Text key of a row's id and content, never null."""
+    return F.concat(row_key(*cols).cast("string"), F.coalesce(F.concat(F.lit(":"), F.col(ident).cast("string")), F.lit("")))
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch holds."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

@@ -103,8 +103,9 @@ def identify_pages(pages: DataFrame, **how) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, **how) -> DataFrame:
-    """docs without those that identify_documents rejects. Only the rejected ids are joined, so few rejections move no text."""
+    """docs without those that identify_documents rejects. Only the rejected keys meet the documents, so few rejections move no text."""
     out = identify_documents(docs, **how).where(~F.col("kept")).select(F.col("doc_id").alias("__d"), F.col("content").alias("__c")).distinct()
+    out = written(out, "langid-rejected")
     own = docs.select("*", F.struct(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("declared"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host")).alias("__own"))
     own = own.withColumn("__content", row_key("__own.text", "__own.declared", "__own.host"))
     return own.join(out, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.col("__content") == F.col("__c")), "left_anti").select(*docs.columns)

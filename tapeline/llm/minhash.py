@@ -10,7 +10,7 @@ the full sets. Components come from large-star and small-star.
 Bands are chosen so that a pair at the threshold is missed with a probability of at most MISS.
 
 Cases: a document without words has an empty set, is linked with nothing and stays. One with fewer words than a
-shingle has is one shingle. Repeated rows are one class. A null id is never a component's id unless all its ids are
+shingle has is one shingle. Very long texts are read whole, 1,024 shingles at a time. Repeated rows are one class. A null id is never a component's id unless all its ids are
 null. Extra columns are not looked at. An empty table gives an empty result.
 """
 
@@ -22,26 +22,32 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeline.llm.common import row_key, small_batches, written
+from tapeline.llm.common import looked_up, pruned_by_keys, row_key, row_name, small_batches, written
 from tapeline.llm.components import stars
 
 #: Chance to miss a pair at the threshold, hash functions at most, bits of the hashed counts that order shingles by rarity.
 MISS, MOST_HASHES, COUNT_BITS = 1e-6, 160, 18
 
+#: Share of the classes from which a band's or shingle's members are looked up by broadcast (there are at most bands / share such
+#: bands); slots of a hub's pairs; members of a shingle in a cell.
+FREQUENT, SLOTS, PER_CELL = 1e-3, 256, 512
+
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def bands_for(threshold: float) -> tuple[int, int]:
     """Bands and rows: the most selective rows for which few enough pairs at the threshold are missed."""
-    best = (MOST_HASHES, 1)
+    best = None
     for rows in range(1, 17):
         bands = next((b for b in range(1, MOST_HASHES // rows + 1) if (1 - threshold**rows) ** b <= MISS), None)
         if bands:
             best = (bands, rows)
+    if not best:
+        raise ValueError(f"a threshold of {threshold} needs more than {MOST_HASHES} hash functions to miss at most {MISS} of its pairs")
     return best
 
 
@@ -163,8 +169,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (8
     """One row per document: doc_id, content (a key of its text), n_shingles, class_size, component_id, kept."""
     num, den = threshold
     sig = written(signatures(docs, k, *bands_for(num / den), ident, text), "minhash-signatures")
-    classes = written(sig.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "content")).alias("first"), F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.count("*").alias("class_size")), "minhash-classes")
-    links = _connected(docs, sig, classes, k, num, den, ident, text)
+    # one signature per class: the bands of equal sets are equal
+    classes = written(sig.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "content")).alias("first"), F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.count("*").alias("class_size"), F.first("bands").alias("bands")), "minhash-classes")
+    links = _connected(docs, classes, k, num, den, ident, text)
     label = classes.select("node", "doc_id", "class_size").join(links.select(F.col("u").alias("node"), "v"), "node", "left").withColumn("label", F.coalesce("v", "node"))
     least = label.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     found = label.join(least, "label").select("node", "class_size", "component_id")
@@ -172,83 +179,103 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (8
     return out.select("doc_id", "content", "n_shingles", F.coalesce("class_size", F.lit(1)).alias("class_size"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _connected(docs: DataFrame, sig: DataFrame, classes: DataFrame, k: int, num: int, den: int, ident: str, text: str) -> DataFrame:
+def _connected(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int, ident: str, text: str) -> DataFrame:
     """Stars (u, v) over nodes from links that were verified."""
     small_batches(docs.sparkSession)
-    firsts = classes.select("node", "n", F.col("first.doc_id").alias("d"), F.col("first.content").alias("c"))
-    # one signature per class: its bands are equal anyway
-    rows = sig.where("node is not null").select("node", "doc_id", "content", "n_shingles", "bands")
-    rows = rows.join(firsts.select(F.col("node").alias("__n"), "d", "c"), (F.col("node") == F.col("__n")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("content") == F.col("c")), "left_semi")
-    member = rows.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("band")).distinct()
+    member = classes.select("node", "n", F.explode(F.array_distinct("bands")).alias("band"))
     tag = F.xxhash64("node")
     bands = member.groupBy("band").agg(F.count("*").alias("members"), F.bit_xor(tag).alias("x"), F.sum(tag.bitwiseAND(0xFFFFFFFFFFF)).alias("s")).where("members > 1")
     # bands with the same members count once
-    bands = bands.groupBy("members", "x", "s").agg(F.min("band").alias("band"))
-    member = written(member.join(bands.select("band", "members"), "band"), "minhash-members")
-    sets = _shingled(docs, member.select("node").distinct().join(firsts, "node"), k, ident, text)
+    bands = written(bands.groupBy("members", "x", "s").agg(F.min("band").alias("band")).select("band", "members"), "minhash-bands")
+    frequent = max(1, classes.count() * FREQUENT)
+    member = written(looked_up(member, bands, ["band"], "members", frequent), "minhash-members")
+    wanted = member.groupBy("node").agg(F.sum("members").alias("shared"))
+    wanted = written(wanted.join(classes.select("node", F.col("first.doc_id").alias("d"), F.col("first.content").alias("c")), "node"), "minhash-wanted")
+    with pruned_by_keys(docs.sparkSession):
+        sets = written(_shingled(docs, wanted.where("shared > 0"), k, ident, text), "minhash-sets")
     # from here on nodes sort by how many they share bands with, the most first: a family's hub is its bands' least, and its centre
-    shared = member.groupBy(F.col("node").alias("id")).agg(F.sum("members").alias("shared"))
-    name = F.concat(F.unhex(F.lpad(F.hex(F.lit((1 << 62) - 1) - F.col("shared")), 16, "0")), F.col("id")).alias("node")
-    named = written(shared.select("id", name), "minhash-names")
-    member = written(member.withColumnRenamed("node", "id").join(named, "id").drop("id"), "minhash-named")
-    sets = written(sets.withColumnRenamed("node", "id").join(named, "id").drop("id"), "minhash-sets")
+    name = F.concat(F.unhex(F.lpad(F.hex(F.lit((1 << 62) - 1) - F.col("shared")), 16, "0")), F.col("node"))
+    member = member.join(wanted.select("node", name.alias("name")), "node")
+    member = written(member.select(F.col("name").alias("node"), "n", "band", "members"), "minhash-named")
 
-    pivots = member.groupBy("band").agg(F.min(F.struct("node", "n")).alias("p")).select("band", F.col("p.node").alias("pivot"), F.col("p.n").alias("n_p"))
+    pivots = member.groupBy("band").agg(F.min(F.struct("node", "n")).alias("p"), F.max("members").alias("members"))
+    pivots = written(pivots.select("band", "members", F.col("p.node").alias("pivot"), F.col("p.n").alias("n_p")), "minhash-pivots")
     near = (F.col("n") * den >= F.col("n_p") * num) & (F.col("n_p") * den >= F.col("n") * num)
-    pairs = member.join(pivots, "band").where(near & (F.col("node") != F.col("pivot")))
+    pairs = looked_up(member.drop("members"), pivots, ["band"], "members", frequent).where(near & (F.col("node") != F.col("pivot")))
     pairs = written(_ordered(pairs, "pivot", "node"), "minhash-pairs")
     now = stars(_verified(pairs, sets, num, den), "minhash-stars")
 
-    rest = written(_unresolved(member, now), "minhash-rest")
+    rest = written(_unresolved(member, now, frequent), "minhash-rest")
     if rest.limit(1).count() == 0:
         return _unnamed(now)
-    own = rest.join(sets, "node").select("node", "n", "label", "shingles")
+    own = rest.withColumn("id", bare("node")).join(sets.withColumnRenamed("node", "id"), "id").select("node", "n", "label", "shingles")
+    own = written(own, "minhash-rest-sets")
     seen = own.select("shingles").mapInArrow(_counts, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(1 << COUNT_BITS, np.int64)  # a fixed number of counts, whatever the input
     counts[seen["slot"].to_numpy()] = seen["n"].to_numpy()
     rarity = docs.sparkSession.sparkContext.broadcast(counts)
     prefix = written(own.mapInArrow(partial(_prefixes, counts=rarity, num=num, den=den), "node binary, n long, label binary, shingle long, place long"), "minhash-prefixes")
-    other = prefix.select("shingle", F.col("node").alias("pivot"), F.col("n").alias("n_p"), F.col("label").alias("label_p"), F.col("place").alias("place_p"))
+    # a shingle within one component brings no link
+    several = prefix.groupBy("shingle").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("rows")).where("a <> b").select("shingle", "rows")
+    prefix = written(looked_up(prefix, written(several, "minhash-shingles"), ["shingle"], "rows", frequent), "minhash-prefixes")
+    # both sides of a shingle are dealt to as many cells as it has rows over PER_CELL, so that its pairs are many tasks' work
+    cells = F.greatest(F.lit(1), F.ceil(F.col("rows") / PER_CELL)).cast("int")
+    left = prefix.withColumn("cell", F.pmod(F.xxhash64("node"), cells).cast("int"))
+    right = prefix.select("shingle", F.col("node").alias("pivot"), F.col("n").alias("n_p"), F.col("label").alias("label_p"), F.col("place").alias("place_p"), F.explode(F.sequence(F.lit(0), cells - 1)).alias("cell"))
     # what both hold from their first common shingle on must make up the overlap that a link needs
     enough = F.least(F.col("n") - F.col("place"), F.col("n_p") - F.col("place_p")) * (num + den) >= num * (F.col("n") + F.col("n_p"))
-    met = _ordered(prefix.join(other, "shingle").where((F.col("node") < F.col("pivot")) & (F.col("label") != F.col("label_p")) & near & enough), "pivot", "node")
+    met = _ordered(left.join(right, ["shingle", "cell"]).where((F.col("node") < F.col("pivot")) & (F.col("label") != F.col("label_p")) & near & enough), "pivot", "node")
     fresh = _verified(written(met.join(pairs, ["u", "v"], "left_anti"), "minhash-pairs"), sets, num, den)
     return _unnamed(stars(now.union(fresh), "minhash-stars"))
 
 
+def bare(name: str) -> Column:
+    """The digest in a name."""
+    return F.expr(f"substring({name}, 9)")
+
+
 def _unnamed(edges: DataFrame) -> DataFrame:
-    return edges.select(F.expr("substring(u, 9)").alias("u"), F.expr("substring(v, 9)").alias("v"))
+    return edges.select(bare("u").alias("u"), bare("v").alias("v"))
 
 
 def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct()
 
 
-def _unresolved(member: DataFrame, now: DataFrame) -> DataFrame:
+def _unresolved(member: DataFrame, now: DataFrame, frequent: float) -> DataFrame:
     """(node, n, label) of bands of three or more that hold more than one component: not all their pairs were compared."""
     labelled = member.where("members > 2").join(now.select(F.col("u").alias("node"), F.col("v").alias("__v")), "node", "left").withColumn("label", F.coalesce("__v", "node")).drop("__v")
-    several = labelled.groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("band")
-    return labelled.join(several, "band", "left_semi").select("node", "n", "label").distinct()
+    labelled = written(labelled, "minhash-labelled")
+    several = labelled.groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.max("members").alias("members")).where("a <> b").select("band", "members")
+    return looked_up(labelled.drop("members"), written(several, "minhash-several"), ["band"], "members", frequent).select("node", "n", "label").distinct()
 
 
 def _shingled(docs: DataFrame, wanted: DataFrame, k: int, ident: str, text: str) -> DataFrame:
     """(node, shingles): the full sets of wanted (node, d, c), one text each."""
-    texts = docs.select(F.col(ident).cast("long").alias("doc_id"), row_key(text).alias("content"), F.col(text).cast("string").alias("text"))
-    texts = texts.join(wanted.select("node", "d", "c"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("content") == F.col("c"))).select("node", "text")
-    # rows that repeat an id and a text give a set once
+    texts = docs.select(row_name(ident, text).alias("key"), F.col(text).cast("string").alias("text"))
+    key = F.concat(F.col("c").cast("string"), F.coalesce(F.concat(F.lit(":"), F.col("d").cast("string")), F.lit("")))
+    texts = texts.join(wanted.select("node", key.alias("key")), "key").select("node", "text")
+    # rows that repeat an id and a text give a set once: before the texts are cut up, and without moving them again
     nth = F.row_number().over(Window.partitionBy("node").orderBy("node"))
     return texts.mapInArrow(partial(_sets, k=k), "node binary, shingles binary").withColumn("nth", nth).where("nth = 1").drop("nth")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs whose full sets overlap enough."""
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
-    return both.select("u", "v", "a", "b").mapInArrow(partial(_links, num=num, den=den), "u binary, v binary")
+    """Pairs whose full sets overlap enough. A hub's pairs are dealt to SLOTS slots, each with one copy of its set."""
+    named = pairs.select("u", "v", bare("u").alias("i"), bare("v").alias("j"), F.pmod(F.xxhash64("v"), F.lit(SLOTS)).cast("int").alias("slot"))
+    right = named.join(sets.select(F.col("node").alias("j"), F.col("shingles").alias("b")), "j").select("u", "v", "slot", "i", "b")
+    left = named.select("i", "slot").distinct().join(sets.select(F.col("node").alias("i"), F.col("shingles").alias("a")), "i")
+    return right.join(left, ["i", "slot"]).select("u", "v", "a", "b").mapInArrow(partial(_links, num=num, den=den), "u binary, v binary")
 
 
 def keep_one_each(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100), ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one document of each group, the one with the least id; rows that repeat its id and text are dropped too."""
-    stays = near_duplicates(docs, k, threshold, ident, text).where("kept").select(F.col("doc_id").alias("__d"), F.col("content").alias("__c")).distinct()
-    own = docs.withColumn("__content", row_key(text)).join(stays, F.col(ident).cast("long").eqNullSafe(F.col("__d")) & (F.col("__content") == F.col("__c")))
-    nth = F.row_number().over(Window.partitionBy("__d", "__c").orderBy("__c"))
-    return own.withColumn("__nth", nth).where("__nth = 1").select(*docs.columns)
+    """docs with one document of each group, the one with the least id; rows that repeat its id and text are dropped too.
+
+    Only keys of what goes, and of rows that repeat, meet the documents: where they are few, no text is moved.
+    """
+    found = near_duplicates(docs, k, threshold, ident, text).select("kept", F.concat(F.col("content").cast("string"), F.coalesce(F.concat(F.lit(":"), F.col("doc_id").cast("string")), F.lit(""))).alias("__key"))
+    special = written(found.groupBy("__key").agg(F.min("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1"), "minhash-dropped")
+    own = docs.withColumn("__key", row_name(ident, text))
+    nth = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
+    repeated = own.join(special.where("kept").select("__key"), "__key", "left_semi").withColumn("__nth", nth).where("__nth = 1")
+    return own.join(special.select("__key"), "__key", "left_anti").select(*docs.columns).unionByName(repeated.select(*docs.columns))

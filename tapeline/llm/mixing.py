@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeline.llm.common import WORD, row_key, written
+from tapeline.llm.common import WORD, row_key, row_name, written
 
 #: Documents of a hash range, slots of a slot range, cells of the unit interval, blocks of a mean source, limits of a block.
 RANGE_DOCS, RANGE_SLOTS, CELLS, MEAN_BLOCKS, LEAST_BLOCK, MOST_BLOCK = 5000, 1 << 14, 1 << 12, 4096, 8, 4096
@@ -130,12 +130,12 @@ def mixed_documents(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     """
     m = mix(docs, ident, text, source, **how)
     copies = m.pieces.where("word_from = 0").select(F.col("doc_id").alias("__d"), F.col("content").alias("__c"), "copy", "epoch")
-    times = copies.groupBy("__d", "__c").agg(F.sum(F.lit(1)).alias("__n"), F.max("copy").alias("__rows"))
-    each = docs.withColumn("__content", row_key(text, source)).withColumn("__copy", F.lit(1))
-    joined = each.join(times, each[ident].eqNullSafe(times["__d"]) & (each["__content"] == times["__c"]))
+    key = lambda c: F.concat(F.col(c).cast("string"), F.coalesce(F.concat(F.lit(":"), F.col("__d").cast("string")), F.lit("")))
+    times = copies.withColumn("__key", key("__c")).groupBy("__key").agg(F.count("*").alias("__n"))
+    joined = docs.withColumn("__key", row_name(ident, text, source)).join(times, "__key")
     # rows that repeat share what their group takes: the first rows get one more where it doesn't divide evenly
-    nth = F.row_number().over(Window.partitionBy("__d", "__c").orderBy("__copy"))
-    whole = F.count("*").over(Window.partitionBy("__d", "__c"))
+    nth = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
+    whole = F.count("*").over(Window.partitionBy("__key"))
     joined = joined.withColumns({"__nth": nth, "__all": whole})
     n = F.floor((F.col("__n") + F.col("__all") - F.col("__nth")) / F.col("__all")).cast("int")
     return joined.withColumn("__times", F.explode(F.array_repeat(F.lit(1), n))).select(*docs.columns)
