@@ -19,7 +19,7 @@ BITS, PART = 15, 1 << 20
 def gram_buckets(text: str | None, fold: bool) -> np.ndarray:
     """Buckets of all byte trigrams; texts of one or two bytes are padded with zeros; none for an empty text.
 
-    fold: A-Z as a-z, and no trigram with a digit, as for languages.
+    fold: A-Z as a-z, and no trigram with a digit or without a letter (a-z or any byte from 128 on), as for languages.
     """
     data = (text or "").encode("utf-8")
     if fold:
@@ -29,9 +29,8 @@ def gram_buckets(text: str | None, fold: bool) -> np.ndarray:
     b = np.frombuffer(data.ljust(3, b"\0"), np.uint8).astype(np.uint32)
     out = (b[:-2] * np.uint32(0x1F123BB5) + b[1:-1] * np.uint32(0x5BD1E995) + b[2:] * np.uint32(0x27D4EB2F)) >> np.uint32(32 - BITS)
     if fold:
-        digit = b - np.uint32(48) < 10
-        if digit.any():
-            out = out[~(digit[:-2] | digit[1:-1] | digit[2:])]
+        digit, letter = b - np.uint32(48) < 10, (b >= 128) | (b - np.uint32(97) < 26)
+        out = out[~(digit[:-2] | digit[1:-1] | digit[2:]) & (letter[:-2] | letter[1:-1] | letter[2:])]
     return out
 
 

@@ -7,7 +7,7 @@ language: its probability given the language, from soft counts over the corpus.
 of a host, shrunk to that of its address suffix, and that to the corpus's, all from soft counts by grouped
 aggregation. The posterior multiplies the three.
 
-Cases: a null or empty text, or one of digits, has flat text evidence and is rejected. A null declaration, host or suffix is a value of
+Cases: a null or empty text, or one of digits and symbols without letters, has flat text evidence and is rejected. A null declaration, host or suffix is a value of
 its own. Declarations are compared by their primary subtag in lower
 case (`EN` and `en-US` are `en`), and every one has a model: 128 KB of broadcast for each. Texts in no known language come out as
 `und` and are rejected, as are those whose best posterior is under `least`. Repeated rows are judged alike. An

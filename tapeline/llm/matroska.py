@@ -27,6 +27,7 @@ EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966,
 TIME_SCALE, DURATION, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC = 0x2AD7B1, 0x4489, 0xAE, 0xD7, 0x73C5, 0x83, 0x86
 AUDIO, RATE, CHANNELS, BITS, CLUSTER_TIME, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0xE1, 0xB5, 0x9F, 0x6264, 0xE7, 0xA3, 0xA0, 0xA1
 CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER, DOC_TYPE, MUXER, WRITER = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1, 0x4282, 0x4D80, 0x5741
+DOC_VERSION, DOC_READ_VERSION, FRAME_DURATION = 0x4287, 0x4285, 0x23E383
 
 #: Bytes of a frame, frames of a block, blocks of a cluster: a cluster's last block starts within 16 signed bits.
 FRAME, LACED, BLOCKS = 1024, 8, 4
@@ -66,10 +67,11 @@ def laced_block(frames: list[bytes], ticks: int) -> bytes:
 
 
 def mux(payload: bytes) -> bytes:
-    head = element(EBML, element(DOC_TYPE, b"matroska"))
+    # simple blocks need version 2
+    head = element(EBML, element(DOC_TYPE, b"matroska") + number(DOC_VERSION, 2) + number(DOC_READ_VERSION, 2))
     info = element(INFO, number(TIME_SCALE, 10**9 // SAMPLE_RATE) + element(DURATION, struct.pack(">d", len(payload))) + element(MUXER, b"tapeline") + element(WRITER, b"tapeline"))
     audio = element(AUDIO, element(RATE, struct.pack(">d", SAMPLE_RATE)) + number(CHANNELS, 1) + number(BITS, 8))
-    tracks = element(TRACKS, element(TRACK_ENTRY, number(TRACK_NUMBER, 1) + number(TRACK_UID, 1) + number(TRACK_TYPE, 2) + element(CODEC, b"A_PCM/INT/LIT") + audio))
+    tracks = element(TRACKS, element(TRACK_ENTRY, number(TRACK_NUMBER, 1) + number(TRACK_UID, 1) + number(TRACK_TYPE, 2) + number(FRAME_DURATION, FRAME * 10**9 // SAMPLE_RATE) + element(CODEC, b"A_PCM/INT/LIT") + audio))
     parts, at, cues = [info, tracks], len(info) + len(tracks), []
     for start in range(0, len(payload), FRAME * LACED * BLOCKS):
         blocks = [number(CLUSTER_TIME, start)]
@@ -85,7 +87,10 @@ def mux(payload: bytes) -> bytes:
 
 @dataclass
 class Media:
-    """Packets as (track, timestamp in ticks, key, byte offset, bytes, cluster); cues as (time, track, byte offset)."""
+    """Packets as (track, timestamp in ticks, key, byte offset, bytes, cluster); cues as (time, track, byte offset).
+
+    Frames of a lace follow each other by their track's frame duration (frame_ns); without one they all have their block's time.
+    """
 
     scale: int = 1_000_000
     duration: float = 0.0
@@ -93,6 +98,7 @@ class Media:
     packets: list[tuple[int, int, bool, int, int, int]] = field(default_factory=list)
     cues: list[tuple[int, int, int]] = field(default_factory=list)
     clusters: int = 0
+    frame_ns: dict[int, int] = field(default_factory=dict)
     error: str | None = None
 
 
@@ -183,6 +189,7 @@ def _segment(data: bytes, start: int, end: int, out: Media) -> None:
         elif ident == TRACKS:
             for _, x, y in (c for c in children(data, a, b) if c[0] == TRACK_ENTRY):
                 got = {i: data[p:q] for i, p, q in children(data, x, y)}
+                out.frame_ns[int.from_bytes(got.get(TRACK_NUMBER, b""), "big")] = int.from_bytes(got.get(FRAME_DURATION, b""), "big")
                 out.tracks.append((int.from_bytes(got.get(TRACK_NUMBER, b""), "big"), int.from_bytes(got.get(TRACK_TYPE, b""), "big"), got.get(CODEC, b"").decode("ascii", "replace")))
         elif ident == CLUSTER:
             _cluster(data, a, b, out)
@@ -219,8 +226,8 @@ def _block(data: bytes, at: int, end: int, time: int, key: bool | None, out: Med
     sizes, at = lace_sizes(data, at + 3, end, flags >> 1 & 3)
     if min(sizes) < 0 or at + sum(sizes) > end:
         raise ValueError(f"bad lacing before {at}")
-    for n in sizes:
-        out.packets.append((track, time + ticks, bool(flags & 0x80) if key is None else key, at, n, out.clusters))
+    for k, n in enumerate(sizes):
+        out.packets.append((track, time + ticks + k * out.frame_ns.get(track, 0) // out.scale, bool(flags & 0x80) if key is None else key, at, n, out.clusters))
         at += n
 
 
@@ -231,21 +238,28 @@ def payload_of(data: bytes, media: Media, track: int = 1) -> bytes:
 PACKETS = T.ArrayType(T.StructType([T.StructField(n, k) for n, k in (("track", T.LongType()), ("timestamp", T.LongType()), ("keyframe", T.BooleanType()), ("offset", T.LongType()), ("size", T.LongType()), ("cluster", T.LongType()))]))
 
 
+TRACK_ROWS = T.ArrayType(T.StructType([T.StructField("track", T.LongType()), T.StructField("kind", T.LongType()), T.StructField("codec", T.StringType()), T.StructField("frame_ns", T.LongType())]))
+CUE_ROWS = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("timestamp", "track", "offset")]))
+
+
 def write_media(df: DataFrame, text: str = "text", out: str = "media") -> DataFrame:
     """df with each text stored as Matroska bytes."""
     return _mapped(df, text, [(out, T.BinaryType(), pa.binary())], lambda v: (mux(padded(v)[1]),))
 
 
 def packet_table(df: DataFrame, media: str = "media") -> DataFrame:
-    """df without the bytes, with n_packets, n_clusters, cues, error, and a list of packets to explode where wanted."""
+    """df without the bytes, with n_packets, n_clusters, n_cues, error, and lists of packets, tracks and cues to explode where wanted."""
     packets = pa.list_(pa.struct([("track", pa.int64()), ("timestamp", pa.int64()), ("keyframe", pa.bool_()), ("offset", pa.int64()), ("size", pa.int64()), ("cluster", pa.int64())]))
+    tracks = pa.list_(pa.struct([("track", pa.int64()), ("kind", pa.int64()), ("codec", pa.string()), ("frame_ns", pa.int64())]))
+    cues = pa.list_(pa.struct([("timestamp", pa.int64()), ("track", pa.int64()), ("offset", pa.int64())]))
     names = ("track", "timestamp", "keyframe", "offset", "size", "cluster")
 
     def read(data: bytes | None) -> tuple:
         m = demux(data)
-        return len(m.packets), m.clusters, len(m.cues), m.error, [dict(zip(names, p)) for p in m.packets]
+        entries = [{"track": t, "kind": k, "codec": c, "frame_ns": m.frame_ns.get(t, 0)} for t, k, c in m.tracks]
+        return len(m.packets), m.clusters, len(m.cues), m.error, [dict(zip(names, p)) for p in m.packets], entries, [dict(zip(("timestamp", "track", "offset"), c)) for c in m.cues]
 
-    cols = [("n_packets", T.LongType(), pa.int64()), ("n_clusters", T.LongType(), pa.int64()), ("n_cues", T.LongType(), pa.int64()), ("error", T.StringType(), pa.string()), ("packets", PACKETS, packets)]
+    cols = [("n_packets", T.LongType(), pa.int64()), ("n_clusters", T.LongType(), pa.int64()), ("n_cues", T.LongType(), pa.int64()), ("error", T.StringType(), pa.string()), ("packets", PACKETS, packets), ("tracks", TRACK_ROWS, tracks), ("cues", CUE_ROWS, cues)]
     return _mapped(df, media, cols, read, drop=True)
 
 
@@ -257,7 +271,7 @@ def media_digests(df: DataFrame, text: str = "text") -> DataFrame:
         stored = mux(payload)
         media = demux(stored)
         back = payload_of(stored, media)
-        whole = all(p[1] == q for p, q in zip(media.packets[::LACED], range(0, len(back), FRAME * LACED)))
+        whole = all(p[1] == q for p, q in zip(media.packets, range(0, len(back), FRAME)))
         feature = f"packets={len(media.packets)};clusters={media.clusters};cues={len(media.cues)};ticks={int(media.duration)};last={media.packets[-1][1]};in_order={int(whole)};mean={sum(back) / len(back):.3f}"
         return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(stored), hashlib.sha256(stored).hexdigest(), feature
 

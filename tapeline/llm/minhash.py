@@ -188,7 +188,8 @@ def _connected(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int,
     # bands with the same members count once
     bands = written(bands.groupBy("members", "x", "s").agg(F.min("band").alias("band")).select("band", "members"), "minhash-bands")
     frequent = max(1, classes.count() * FREQUENT)
-    member = written(looked_up(member, bands, ["band"], "members", frequent), "minhash-members")
+    with pruned_by_keys(docs.sparkSession):
+        member = written(looked_up(member, bands, ["band"], "members", frequent, F.col("members") > 1), "minhash-members")
     wanted = member.groupBy("node").agg(F.sum("members").alias("shared"))
     wanted = written(wanted.join(classes.select("node", F.col("first.doc_id").alias("d"), F.col("first.content").alias("c")), "node"), "minhash-wanted")
     with pruned_by_keys(docs.sparkSession):
@@ -254,10 +255,10 @@ def _shingled(docs: DataFrame, wanted: DataFrame, k: int, ident: str, text: str)
     """(node, shingles): the full sets of wanted (node, d, c), one text each."""
     texts = docs.select(row_name(ident, text).alias("key"), F.col(text).cast("string").alias("text"))
     key = F.concat(F.col("c").cast("string"), F.coalesce(F.concat(F.lit(":"), F.col("d").cast("string")), F.lit("")))
-    texts = texts.join(wanted.select("node", key.alias("key")), "key").select("node", "text")
-    # rows that repeat an id and a text give a set once: before the texts are cut up, and without moving them again
-    nth = F.row_number().over(Window.partitionBy("node").orderBy("node"))
-    return texts.mapInArrow(partial(_sets, k=k), "node binary, shingles binary").withColumn("nth", nth).where("nth = 1").drop("nth")
+    texts = texts.join(wanted.select("node", key.alias("key")), "key").select("key", "node", "text")
+    # rows that repeat an id and a text give a set once; they are together already
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("key"))
+    return texts.withColumn("nth", nth).where("nth = 1").select("node", "text").mapInArrow(partial(_sets, k=k), "node binary, shingles binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:

@@ -1,7 +1,8 @@
 """Quality classifier with hierarchical empirical Bayes over hosts and paths.
 
 Document evidence: mean log-ratio of byte trigrams between good and bad labelled texts, turned into a probability by a
-logistic curve; both are fitted on a sample of at most SAMPLE labels, the first by hash of their ids. A host's mean is shrunk to
+logistic curve; both are fitted on a sample of at most SAMPLE labels, the first by hash of their ids, one text for each. The curve is fitted on
+scores out of fold: each half of the sample is scored by the counts of the other. A host's mean is shrunk to
 the corpus's, a path's to its host's; how strongly is estimated from the spread between hosts and between paths
 (moments of a beta distribution, by grouped aggregation over all documents). A document's odds are its own times
 those of its site without itself, against the corpus's.
@@ -56,16 +57,21 @@ def strength(mean: Column, prior: Column, n: Column) -> Column:
     return F.least(F.greatest(F.coalesce(F.avg(prior * (1 - prior)) / between - 1, F.lit(STRONGEST)), F.lit(WEAKEST)), F.lit(STRONGEST))
 
 
-def classify(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "text", site: str = "source", label: str = "quality", least: float = 0.35, sample: int = SAMPLE) -> DataFrame:
-    """One row per document: doc_id, content, host, path, doc_probability, host_posterior, path_posterior, quality_probability, kept."""
+def classify(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "text", site: str = "source", label: str = "quality", least: float = 0.35, sample: int = SAMPLE, train: DataFrame | None = None) -> DataFrame:
+    """train: a table like docs that the labels belong to, docs themselves if none is given. One row per document: doc_id, content, host, path, doc_probability, host_posterior, path_posterior, quality_probability, kept."""
     host, path = F.substring_index(F.coalesce(F.col(site), F.lit("")), "/", 1), F.regexp_extract(F.coalesce(F.col(site), F.lit("")), r"^[^/]*/([^/?#]*)", 1)
     rows = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), host.alias("host"), path.alias("path"))
     rows = rows.withColumn("content", row_key("text", "host", "path"))
     chosen = written(label_sample(labels, ident, label, sample), "quality-labels")
-    fitted = rows.join(F.broadcast(chosen), rows["doc_id"] == chosen["__id"])  # at most `sample` rows of two numbers
-    table = class_log_probabilities(fitted.select(F.col("label").cast("string"), "text"), ["0", "1"], fold=False)
-    score = written(scored(rows, "text", table, fold=False).withColumn("evidence", F.col("mean_ll")[1] - F.col("mean_ll")[0]).drop("mean_ll"), "quality-scores")
-    pairs = score.where("n_grams > 0").join(F.broadcast(chosen), score["doc_id"] == chosen["__id"]).select("evidence", F.col("label").cast("double")).limit(2 * sample).toArrow()
+    known = rows if train is None else train.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    known = known.join(F.broadcast(chosen), known["doc_id"] == chosen["__id"])  # at most `sample` rows of two numbers
+    one = known.groupBy("__id").agg(F.min("label").cast("string").alias("label"), F.min("text").alias("text"))
+    fitted = written(one.withColumn("half", F.pmod(F.xxhash64(F.lit("half"), "__id"), F.lit(2)).cast("int")), "quality-sample")
+    of = lambda part: class_log_probabilities(part.select("label", "text"), ["0", "1"], fold=False)
+    evidence = lambda part: part.withColumn("evidence", F.col("mean_ll")[1] - F.col("mean_ll")[0]).drop("mean_ll")
+    score = written(evidence(scored(rows, "text", of(fitted), fold=False)), "quality-scores")
+    halves = [evidence(scored(fitted.where(F.col("half") == h), "text", of(fitted.where(F.col("half") != h)), fold=False)) for h in (0, 1)]
+    pairs = halves[0].unionByName(halves[1]).where("n_grams > 0").select("evidence", F.col("label").cast("double")).toArrow()  # one row per label of the sample
     y = pairs["label"].to_numpy()
     slope, offset = fit_logistic(pairs["evidence"].to_numpy(), y) if len(y) else (0.0, 0.0)
     share = float((y.sum() + 1) / (len(y) + 2)) if len(y) else 0.5

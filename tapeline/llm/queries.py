@@ -47,6 +47,15 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")).drop("content")
 
 
+def op6_quality_classifier_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host and path level at work: pages have both, and the model comes from the labelled documents."""
+    pages = read_table(spark, sf_dir, "pages")
+    rows = pages.select("page_id", langid.html_text(F.col("html")).alias("text"), F.substring_index("url", "://", -1).alias("source"))
+    train = read_table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "page_id")
+    labels = read_table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "page_id")
+    return quality.classify(rows, labels, "page_id", train=train).drop("content").withColumnRenamed("doc_id", "page_id")
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(read_table(spark, sf_dir, "documents"), k=3, threshold=(85, 100))
     return found.select("doc_id", "n_shingles", "component_id", "kept", "class_size")
@@ -67,7 +76,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_byte_bpe": op1_byte_bpe, "op2_url_filter": op2_url_filter, "op3_source_mixing": op3_source_mixing, "op4_language_id": op4_language_id, "op4_language_id_pages": op4_language_id_pages, "op5_quality_rules": op5_quality_rules, "op6_quality_classifier": op6_quality_classifier, "op7_minhash": op7_minhash, "op8_matroska": op8_matroska, "op9_warc": op9_warc, "op10_pii": op10_pii}
+    return {"op1_byte_bpe": op1_byte_bpe, "op2_url_filter": op2_url_filter, "op3_source_mixing": op3_source_mixing, "op4_language_id": op4_language_id, "op4_language_id_pages": op4_language_id_pages, "op5_quality_rules": op5_quality_rules, "op6_quality_classifier": op6_quality_classifier, "op6_quality_classifier_pages": op6_quality_classifier_pages, "op7_minhash": op7_minhash, "op8_matroska": op8_matroska, "op9_warc": op9_warc, "op10_pii": op10_pii}
 
 
 #: Shingles, links by counted overlaps, and their closure; copies are counted by equal sets.

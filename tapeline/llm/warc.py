@@ -1,8 +1,9 @@
 """WARC archives in Zstandard with a dictionary of their own.
 
 Records are dealt into archives of bounded size. Each archive trains a dictionary on its own records (the first
-SAMPLE_BYTES of each record's bytes up to TRAIN_BYTES in all, a bounded fitting sample), stores it in a leading
-skippable frame, and compresses every record as a frame of its own, so that one record can be read by its offset.
+SAMPLE_BYTES of each of evenly spaced records up to TRAIN_BYTES in all, a bounded fitting sample); records too few or alike for
+training give their own bytes as a raw-content dictionary. It is stored in a leading
+skippable frame, and every record is compressed as a frame of its own, so that one record can be read by its offset.
 
 Of records with equal payloads of at least `least` bytes, the one with the largest id is a response and the others
 are revisits of it. Archives are rows (archive, part, content) of a DataFrame, so Spark's writers place them in any
@@ -10,8 +11,7 @@ store; save_archives() also writes plain files to a mounted folder.
 
 Cases: a null payload is empty. A null url is written as about:blank, control characters in a url are percent-encoded. Rows that
 repeat the largest id are all responses; a null id is never larger than another and is written as `none`. An empty
-table gives no archive. Extra columns are not archived. Records too few or alike for training go without a
-dictionary and without the leading frame.
+table gives no archive. Extra columns are not archived. A very long payload is one record; a worker holds one archive at a time.
 """
 
 from __future__ import annotations
@@ -73,23 +73,20 @@ def record_bytes(ident: int | None, url: str | None, payload: bytes, refers_to:
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
+def dictionary_of(records: list[bytes]) -> zstandard.ZstdCompressionDict:
+    """Trained where that works, else the ends of the sampled records themselves."""
+    heads = [r[:SAMPLE_BYTES] for r in records]
+    heads = heads[:: max(1, sum(map(len, heads)) // TRAIN_BYTES)]
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, heads, k=256, d=8)
+    except zstandard.ZstdError:
+        return zstandard.ZstdCompressionDict(b"".join(heads)[-DICTIONARY_BYTES:], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+
+
 def build_archive(records: list[bytes]) -> bytes:
-    samples, size = [], 0
-    step = max(1, sum(map(len, records)) // TRAIN_BYTES)
-    for r in records[::step]:
-        samples.append(r[:SAMPLE_BYTES])
-        size += len(samples[-1])
-        if size >= TRAIN_BYTES:
-            break
-    out, dictionary = io.BytesIO(), None
-    if len(samples) >= 16:
-        try:
-            dictionary = zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=256, d=8)
-        except zstandard.ZstdError:
-            dictionary = None  # too little to learn from
-    if dictionary:
-        frame = zstandard.ZstdCompressor(level=LEVEL).compress(dictionary.as_bytes())
-        out.write(struct.pack("<II", SKIPPABLE, len(frame)) + frame)
+    dictionary, out = dictionary_of(records), io.BytesIO()
+    frame = zstandard.ZstdCompressor(level=LEVEL).compress(dictionary.as_bytes())
+    out.write(struct.pack("<II", SKIPPABLE, len(frame)) + frame)
     pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_content_size=True, write_checksum=True)
     for r in records:
         out.write(pack.compress(r))

@@ -24,14 +24,14 @@ def documents(n=400, seed=2):
 
 def test_language_id_held_out(spark):
     train = documents()
-    odd = [(1000, None, "en", "host0.en"), (1001, "", None, None), (1002, prose(random.Random(1), "de", 80), "fr", "host1.de"), (1003, prose(random.Random(2), "fr", 80), None, None), (1004, "漢字仮名交じり文の文章です。" * 30, None, "host0.en"), (1005, "ab", "en", "host0.en")]
+    odd = [(1000, None, "en", "host0.en"), (1001, "", None, None), (1002, prose(random.Random(1), "de", 80), "fr", "host1.de"), (1003, prose(random.Random(2), "fr", 80), None, None), (1004, "漢字仮名交じり文の文章です。" * 30, None, "host0.en"), (1005, "ab", "en", "host0.en"), (1006, "%%% ### $$$ 12 *** " * 30, "en", "host0.en")]
     held = [(2000 + i, t, None, s) for i, t, _, s in documents(150, 9)]
     truth = {2000 + i: lang for i, _, lang, _ in documents(150, 9)}
     df = spark.createDataFrame(train + odd + held, SCHEMA).repartition(4).withColumn("kept", F.lit("clash"))
     got = {r["doc_id"]: r for r in langid.identify_documents(df).collect()}
     assert sum(got[i]["language"] == lang for i, lang in truth.items()) >= 0.98 * len(truth)
     assert got[1002]["language"] == "de" and got[1003]["language"] == "fr" and got[1004]["language"] == "und"
-    assert [got[i]["kept"] for i in (1000, 1001, 1002, 1003, 1004)] == [False, False, True, True, False]
+    assert [got[i]["kept"] for i in (1000, 1001, 1002, 1003, 1004, 1006)] == [False, False, True, True, False, False]
     assert langid.keep_identified(df).count() == len(train) + len(odd) + len(held) - sum(not r["kept"] for r in got.values())
     assert langid.identify_documents(df.limit(0)).count() == 0
     assert [r["language"] for r in langid.identify_documents(spark.createDataFrame([(1, "x y z", None, None)], SCHEMA)).collect()] == ["und"]
@@ -91,6 +91,12 @@ def test_quality_classifier_held_out(spark):
     assert {r["kept"] for r in out if r["doc_id"] in (-1, -2)} == {False} and len(out) == len(rows) + 3
     site = {r["path"]: r["path_posterior"] for r in out}
     assert site["spam"] < site["blog"]
+    # calibrated out of fold: probabilities of held-out texts are about as right as they say
+    sure = [max(r["doc_probability"], 1 - r["doc_probability"]) for r in held.values()]
+    assert sum((r["doc_probability"] >= 0.5) == truth[i] for i, r in held.items()) / len(held) >= sum(sure) / len(sure) - 0.1
+    pages = df.withColumnRenamed("doc_id", "page_id")
+    other = quality.classify(pages.where("page_id >= 0"), spark.createDataFrame(labels, "page_id long, quality int, toxic int"), "page_id", train=pages).collect()
+    assert {bool(r["kept"]) for r in other if r["path"] == "spam"} == {False} and len({r["path_posterior"] for r in other if r["path"] == "blog"}) == 1
     none = quality.classify(df, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert none.where("kept").count() == len(rows) + 1
     assert quality.classify(df.limit(0), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).count() == 0

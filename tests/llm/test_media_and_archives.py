@@ -3,6 +3,7 @@ import random
 import struct
 import zlib
 
+import zstandard
 from pyspark.sql import functions as F
 
 from tapeline.llm import matroska as mk
@@ -18,7 +19,8 @@ def test_round_trip():
         m = mk.demux(data)
         assert m.error is None and mk.payload_of(data, m) == payload and m.tracks == [(1, 2, "A_PCM/INT/LIT")] and m.duration == len(payload)
         assert [data[at : at + 4] for _, _, at in m.cues] == [b"\x1f\x43\xb6\x75"] * m.clusters
-        assert [p[1] for p in m.packets] == sorted(p[1] for p in m.packets)
+        assert [p[1] for p in m.packets] == list(range(0, len(payload), mk.FRAME))
+        assert m.frame_ns == {1: mk.FRAME * 10**9 // mk.SAMPLE_RATE} and m.scale * mk.SAMPLE_RATE == 10**9
 
 
 def test_lacings_and_unknown_sizes():
@@ -54,6 +56,8 @@ def test_media_columns(spark):
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
     table = mk.packet_table(mk.write_media(df.drop("feature"))).select("doc_id", "n_packets", F.explode("packets").alias("p"))
     assert table.where("doc_id = 4").agg(F.sum("p.size")).first()[0] == got[4]["payload_bytes"]
+    parts = mk.packet_table(mk.write_media(df.drop("feature"))).where("doc_id = 4").first()
+    assert [(t["track"], t["codec"], t["frame_ns"]) for t in parts["tracks"]] == [(1, "A_PCM/INT/LIT", 128_000_000)] and len(parts["cues"]) == parts["n_cues"] == parts["n_clusters"]
     assert mk.media_digests(df.limit(0)).count() == 0 and mk.packet_table(spark.createDataFrame([(1, None)], "i int, media binary")).first()["n_packets"] == 0
 
 
@@ -65,9 +69,16 @@ def test_archive_bytes():
     found = list(warc.frames(content))
     assert [raw for _, _, raw in found] == records and found[-1][0] + found[-1][1] == len(content)
     few = warc.build_archive(records[:3])
-    assert few[:4] == b"\x28\xb5\x2f\xfd" and [raw for _, _, raw in warc.frames(few)] == records[:3]
+    assert few[:4] == struct.pack("<I", warc.SKIPPABLE) and [raw for _, _, raw in warc.frames(few)] == records[:3]
     big = warc.record_bytes(1, None, bytes(rng.randbytes(300_000)), None, "d")
     assert [raw for _, _, raw in warc.frames(warc.build_archive([big, big]))] == [big, big]
+    for some in ([records[0]], [big], [big] * 40, [records[0]] * 300):
+        made = warc.build_archive(some)
+        assert made[:4] == struct.pack("<I", warc.SKIPPABLE) and [raw for _, _, raw in warc.frames(made)] == some
+        # by the library alone: the leading frame's content is the dictionary, the next frames are records
+        size = struct.unpack_from("<I", made, 4)[0]
+        d = zstandard.ZstdCompressionDict(zstandard.ZstdDecompressor().decompress(made[8 : 8 + size]))
+        assert zstandard.ZstdDecompressor(dict_data=d).decompress(made[8 + size :], max_output_size=len(some[0])) == some[0]
 
 
 def test_archives(spark, tmp_path):
