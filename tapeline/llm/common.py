@@ -16,7 +16,7 @@ BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
 #: Separators between words: space and the ASCII controls tab to carriage return (fixed values).
 WORD = r"[^\x20\x09-\x0D]+"
 
-__all__ = ["BATCH_BYTES", "BATCH_ROWS", "WORD", "log_softmax", "looked_up", "pruned_by_keys", "read_table", "row_key", "row_name", "session_settings", "shared_dir", "small_batches", "written"]
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "WORD", "hinted_broadcasts_only", "log_softmax", "looked_up", "pruned_by_keys", "read_table", "row_key", "row_name", "session_settings", "shared_dir", "small_batches", "written"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,11 @@ def pruned_by_keys(spark: SparkSession):
     return session_settings(spark, **{bloom + "enabled": "true", bloom + "applicationSideScanSizeThreshold": "0", bloom + "creationSideThreshold": "512MB"})
 
 
+def hinted_broadcasts_only(spark: SparkSession):
+    """Within: joins are broadcast only where a hint says so, so that plans are alike at every size of the input."""
+    return session_settings(spark, spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__autoBroadcastJoinThreshold="-1")
+
+
 def row_name(ident: str, *cols: str) -> Column:
     """Text key of a row's id and content, never null."""
     return F.concat(row_key(*cols).cast("string"), F.coalesce(F.concat(F.lit(":"), F.col(ident).cast("string")), F.lit("")))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeline.llm.common import looked_up, pruned_by_keys, row_key, row_name, small_batches, written
+from tapeline.llm.common import hinted_broadcasts_only, looked_up, pruned_by_keys, row_key, row_name, small_batches, written
 from tapeline.llm.components import stars
 
 #: Chance to miss a pair at the threshold, hash functions at most, bits of the hashed counts that order shingles by rarity.
@@ -168,15 +168,20 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int, ident: str = "doc
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100), ident: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, content (a key of its text), n_shingles, class_size, component_id, kept."""
     num, den = threshold
-    sig = written(signatures(docs, k, *bands_for(num / den), ident, text), "minhash-signatures")
-    # one signature per class: the bands of equal sets are equal
-    classes = written(sig.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "content")).alias("first"), F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.count("*").alias("class_size"), F.first("bands").alias("bands")), "minhash-classes")
-    links = _connected(docs, classes, k, num, den, ident, text)
+    with hinted_broadcasts_only(docs.sparkSession):
+        sig = written(signatures(docs, k, *bands_for(num / den), ident, text), "minhash-signatures")
+        # one signature per class: the bands of equal sets are equal
+        classes = written(sig.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "content")).alias("first"), F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.count("*").alias("class_size"), F.first("bands").alias("bands")), "minhash-classes")
+        links = _connected(docs, classes, k, num, den, ident, text)
     label = classes.select("node", "doc_id", "class_size").join(links.select(F.col("u").alias("node"), "v"), "node", "left").withColumn("label", F.coalesce("v", "node"))
-    least = label.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    found = label.join(least, "label").select("node", "class_size", "component_id")
-    out = sig.select("doc_id", "content", "n_shingles", "node").join(found, "node", "left")
-    return out.select("doc_id", "content", "n_shingles", F.coalesce("class_size", F.lit(1)).alias("class_size"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    frequent = max(1, classes.count() * FREQUENT)
+    least = label.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("members"))
+    found = written(looked_up(label, least, ["label"], "members", frequent).select("node", "class_size", "component_id"), "minhash-found")
+    rows = sig.select("doc_id", "content", "n_shingles", "node")
+    empty = rows.where("node is null").withColumns({"class_size": F.lit(1).cast("long"), "component_id": F.col("doc_id")})
+    # a class of copies may hold a third of all rows
+    out = looked_up(rows.where("node is not null"), found, ["node"], "class_size", max(1, sig.count() * FREQUENT)).unionByName(empty)
+    return out.select("doc_id", "content", "n_shingles", "class_size", "component_id").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def _connected(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int, ident: str, text: str) -> DataFrame:
