@@ -192,6 +192,7 @@ def sanitise(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> Data
     """
     found = found_spans(docs, ident, text, docs.columns)
     told = found.where(F.size("spans") > 0).join(disclosing_terms(found).withColumnRenamed("key", "__told"), F.col("key") == F.col("__told"), "left")
-    told = told.withColumn("__new", sanitised(F.col(f"row.`{text}`").cast("string"), all_spans()))
+    # the spans are computed once: they are named in many places of the rewritten text
+    told = told.withColumn("__new", let(all_spans(), lambda spans: sanitised(F.col(f"row.`{text}`").cast("string"), spans)))
     new = lambda c: F.col("__new").alias(c) if c == text else F.length("__new").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c)
     return found.where(F.size("spans") == 0).select("row.*").unionByName(told.select(*[new(c) for c in docs.columns]))
