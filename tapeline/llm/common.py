@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeline.sources.interim import shared_dir, written
+from tapeline.sources import interim
+from tapeline.sources.interim import shared_dir
 
 #: Rows and bytes of one Arrow batch, so that a Python worker holds a bounded slice of long texts.
 BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
@@ -16,13 +19,35 @@ BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
 #: Separators between words: space and the ASCII controls tab to carriage return (fixed values).
 WORD = r"[^\x20\x09-\x0D]+"
 
-__all__ = ["BATCH_BYTES", "BATCH_ROWS", "WORD", "hinted_broadcasts_only", "log_softmax", "looked_up", "pruned_by_keys", "read_table", "row_key", "row_name", "session_settings", "shared_dir", "small_batches", "written"]
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "WORD", "hinted_broadcasts_only", "log_softmax", "looked_up", "pruned_by_keys", "read_table", "row_key", "row_name", "scratch", "session_settings", "shared_dir", "small_batches", "written"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folder, in the shared one, of the tables that the innermost `scratch` deletes.
+_SCRATCH: ContextVar[str] = ContextVar("scratch", default="")
+
+
+def written(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
+    """df written to the shared folder and read back. Within `scratch` it goes at the end of that, unless it is lasting."""
+    return interim.written(df, name if lasting else _SCRATCH.get() + name)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are deleted afterwards, so what is returned must read only lasting ones."""
+    folder = f"scratch-{uuid.uuid4().hex}"
+    before = _SCRATCH.set(folder + "/")
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(before)
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tapeline/{folder}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], n: str, frequent: float, fits: Column | None = None) -> DataFrame:
     """rows with the row of table that has the same keys and fits; keys with n above `frequent` are broadcast, so no task gets all rows of one.
 

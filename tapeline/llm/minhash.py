@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeline.llm.common import hinted_broadcasts_only, looked_up, pruned_by_keys, row_key, row_name, small_batches, written
+from tapeline.llm.common import hinted_broadcasts_only, looked_up, pruned_by_keys, row_key, row_name, scratch, small_batches, written
 from tapeline.llm.components import stars
 
 #: Chance to miss a pair at the threshold, hash functions at most, bits of the hashed counts that order shingles by rarity.
@@ -168,15 +168,17 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int, ident: str = "doc
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100), ident: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, content (a key of its text), n_shingles, class_size, component_id, kept."""
     num, den = threshold
-    with hinted_broadcasts_only(docs.sparkSession):
+    spark = docs.sparkSession
+    with hinted_broadcasts_only(spark), scratch(spark):
         sig = written(signatures(docs, k, *bands_for(num / den), ident, text), "minhash-signatures")
         # one signature per class: the bands of equal sets are equal
         classes = written(sig.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "content")).alias("first"), F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.count("*").alias("class_size"), F.first("bands").alias("bands")), "minhash-classes")
         links = _connected(docs, classes, k, num, den, ident, text)
-    label = classes.select("node", "doc_id", "class_size").join(links.select(F.col("u").alias("node"), "v"), "node", "left").withColumn("label", F.coalesce("v", "node"))
-    frequent = max(1, classes.count() * FREQUENT)
-    least = label.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("members"))
-    found = written(looked_up(label, least, ["label"], "members", frequent).select("node", "class_size", "component_id"), "minhash-found")
+        label = classes.select("node", "doc_id", "class_size").join(links.select(F.col("u").alias("node"), "v"), "node", "left").withColumn("label", F.coalesce("v", "node"))
+        frequent = max(1, classes.count() * FREQUENT)
+        least = label.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("members"))
+        found = written(looked_up(label, least, ["label"], "members", frequent).select("node", "class_size", "component_id"), "minhash-found", lasting=True)
+        sig = written(sig.drop("bands"), "minhash-rows", lasting=True)
     rows = sig.select("doc_id", "content", "n_shingles", "node")
     empty = rows.where("node is null").withColumns({"class_size": F.lit(1).cast("long"), "component_id": F.col("doc_id")})
     # a class of copies may hold a third of all rows
@@ -277,11 +279,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 def keep_one_each(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100), ident: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one document of each group, the one with the least id; rows that repeat its id and text are dropped too.
 
-    Only keys of what goes, and of rows that repeat, meet the documents: where they are few, no text is moved.
+    Keys of what goes, and of rows that repeat, meet the documents in one join that deals each text once, at every size alike: the
+    keys grow with the documents, so they are not broadcast.
     """
     found = near_duplicates(docs, k, threshold, ident, text).select("kept", F.concat(F.col("content").cast("string"), F.coalesce(F.concat(F.lit(":"), F.col("doc_id").cast("string")), F.lit(""))).alias("__key"))
-    special = written(found.groupBy("__key").agg(F.min("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1"), "minhash-dropped")
-    own = docs.withColumn("__key", row_name(ident, text))
+    special = written(found.groupBy("__key").agg(F.min("kept").alias("__kept"), F.count("*").alias("n")).where("not __kept or n > 1").drop("n"), "minhash-dropped")
+    own = docs.withColumn("__key", row_name(ident, text)).join(special.hint("merge"), "__key", "left").where("coalesce(__kept, true)")
+    # rows that repeat an id and a text are together already
     nth = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
-    repeated = own.join(special.where("kept").select("__key"), "__key", "left_semi").withColumn("__nth", nth).where("__nth = 1")
-    return own.join(special.select("__key"), "__key", "left_anti").select(*docs.columns).unionByName(repeated.select(*docs.columns))
+    return own.withColumn("__nth", nth).where("__nth = 1").select(*docs.columns)
