@@ -18,8 +18,14 @@ def _tokenizer() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows dealt over all cores where the files give fewer splits than cores, as a few large row groups do; else as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(read_table(spark, sf_dir, "documents").select("doc_id", "text"), *_tokenizer(), digests_only=True)
+    return bpe.encode_documents(_dealt(read_table(spark, sf_dir, "documents").select("doc_id", "text")), *_tokenizer(), digests_only=True)
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +46,7 @@ def op4_language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return rules.judge(_dealt(read_table(spark, sf_dir, "documents").select("doc_id", "text")), read_table(spark, sf_dir, "labels"))
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
