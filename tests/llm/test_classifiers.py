@@ -115,6 +115,49 @@ def base_counts(t):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(cover), len(w) < 50 or 100 * len(cover) > 50 * len(w)
 
 
+def ngram_buckets(t):
+    """Buckets of a text's n-grams, by another implementation of the hash."""
+    import regex
+    import xxhash
+
+    mask = (1 << rules.BITS) - 1
+    one = [xxhash.xxh64_intdigest(x.encode(), seed=42) & mask for x in regex.findall(r"[\p{L}\p{N}]++|[^\p{L}\p{N}\x20\x09-\x0D]++", t or "")]
+    return one + [xxhash_int(b, xxhash_int(a, 42)) & mask for a, b in zip(one, one[1:])]
+
+
+def xxhash_int(n, seed):
+    """XXH64 of four bytes, little-endian."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(n.to_bytes(4, "little"), seed=seed)
+
+
+def test_quality_rules_by_brute_force(spark):
+    """Scores, threshold and verdicts from counts by hand."""
+    import math
+    from collections import Counter
+    from statistics import pstdev
+
+    rows, labels = quality_rows()
+    odd = [(20_000, None), (20_001, ""), (20_002, " \n"), (20_003, "one"), (20_004, "caf\u00e9 42 ... \U0001f600 x"), (20_005, "tail of words " * 3000)]
+    df = spark.createDataFrame(rows + [(i, t, None, None) for i, t in odd], SCHEMA)
+    got = {r["doc_id"]: r for r in rules.judge(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    of = {i: ngram_buckets(t) for i, t, *_ in rows + odd}
+    good = {i for i, q, _ in labels if q == 1}
+    target, raw = Counter(b for i in good for b in of[i]), Counter(b for x in of.values() for b in x)
+    size = 1 << rules.BITS
+    nt, nr = sum(target.values()) + size * rules.SMOOTH, sum(raw.values()) + size * rules.SMOOTH
+    ratio = lambda b: math.log((target[b] + rules.SMOOTH) / nt) - math.log((raw[b] + rules.SMOOTH) / nr)
+    score = {i: sum(map(ratio, x)) / len(x) if x else 0.0 for i, x in of.items()}
+    g, b = [score[i] for i in good], [score[i] for i, q, _ in labels if q == 0]
+    mean, dev = lambda v: sum(v) / len(v), lambda v: pstdev(v) + 1e-9
+    limit = min(mean(g) - rules.SPARE * pstdev(g) - 1e-9, (mean(g) * dev(b) + mean(b) * dev(g)) / (dev(g) + dev(b)))
+    for i, r in got.items():
+        assert abs(r["score"] - score[i]) < 1e-6 and abs(r["threshold"] - limit) < 1e-6, i
+        assert r["kept"] == (not r["base_failed"] and score[i] >= limit) or abs(score[i] - limit) < 1e-6, i
+    assert len(got) == len(rows) + len(odd)
+
+
 def test_quality_rules(spark):
     rows, labels = quality_rows()
     odd = [None, "", " \n\t", "one", "a b c " * 40, "x\ny\nx\n \n\nx", "é|<> " * 60, "a\x0bb\x0cc\u00a0d", "t " * 2, "word " * 5000 + "end"]
