@@ -10,26 +10,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeline.llm import bpe, langid, minhash, mixing, pii
-from tapeline.llm.common import written
+from tapeline.llm.common import small_reads, written
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID; rejected documents go."""
+    small_reads(spark)
     return langid.keep_identified(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """MinHash near-dedup on five words and a similarity of 0.8; one document of each group stays."""
+    small_reads(spark)
     return minhash.keep_one_each(docs)
 
 
 def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data, and terms that disclose it, are replaced in the text."""
+    small_reads(spark)
     return pii.sanitise(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents, repeated or left out as the mix takes them."""
+    small_reads(spark)
     return mixing.mixed_documents(docs)
 
 
@@ -37,6 +41,7 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, checked by decoding them."""
     import public_tokenizers
 
+    small_reads(spark)
     out = bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return out.select("doc_id", "lang", "source", "n_chars", "token_ids", "n_tokens", "ids_sha256", (F.col("decoded_sha256") == F.sha2(F.coalesce("text", F.lit("")), 256)).alias("round_trip"))
 

@@ -38,3 +38,12 @@ def test_odd_rows(spark):
         for _, stage in corpus_pipeline.STAGES:
             now = stage(spark, now, "")
         assert now.count() >= 0
+
+
+def test_stages_bound_what_is_read_at_once(spark, sf):
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(5)
+    for _, stage in corpus_pipeline.STAGES:
+        spark.conf.unset(name)
+        stage(spark, docs, sf)
+        assert int(spark.conf.get(name)) <= 512
