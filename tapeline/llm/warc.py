@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapeline.llm.common import small_batches
+from tapeline.llm.common import small_batches, small_reads, written
 
 #: Magic number of the skippable frame that holds a dictionary (fixed value of the published format).
 SKIPPABLE = 0x184D2A5D
@@ -49,12 +49,16 @@ def base32_sha1(data: bytes) -> str:
 
 
 def with_revisits(pages: DataFrame, ident: str, payload: str, least: int = 0) -> DataFrame:
-    """pages with refers_to: the largest id of its equals, null for a response. Payloads are compared by SHA-256 and length."""
+    """pages with refers_to: the largest id of its equals, null for a response. Payloads are compared by SHA-256 and length.
+
+    Payloads are read twice: for a written table of ids and digests, which are then grouped, and with what comes back.
+    """
+    small_reads(pages.sparkSession)
     content = F.coalesce(F.col(payload), F.lit(""))
     own = pages.withColumns({"__same": F.sha2(content, 256), "__size": F.octet_length(content)})
-    last = own.where(F.col("__size") >= least).groupBy("__same", "__size").agg(F.max(ident).alias("__last"))
-    # the payloads stay where they are: only ids and digests are shuffled, those of the revisits go back
-    pairs = own.select(F.col(ident).alias("__id"), "__same", "__size").join(last, ["__same", "__size"]).where("__id is null or __id < __last")
+    keys = written(own.select(F.col(ident).alias("__id"), "__same", "__size"), "warc-keys")
+    last = keys.where(F.col("__size") >= least).groupBy("__same", "__size").agg(F.max("__id").alias("__last"))
+    pairs = keys.join(last, ["__same", "__size"]).where("__id is null or __id < __last")
     targets = pairs.select("__id", "__same", "__last").distinct()
     return own.join(targets, (own[ident].eqNullSafe(targets["__id"])) & (own["__same"] == targets["__same"]), "left").select(*[own[c] for c in pages.columns], F.col("__last").alias("refers_to"))
 
@@ -96,6 +100,7 @@ def build_archive(records: list[bytes]) -> bytes:
 def write_archives(pages: DataFrame, ident: str = "page_id", url: str = "url", payload: str = "html", refers_to: str = "refers_to", date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Archive rows; each task packs its own records, so nothing is shuffled."""
     small_batches(pages.sparkSession)
+    small_reads(pages.sparkSession)
     rows = pages.select(F.col(ident).cast("long").alias("id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(payload).cast("string"), F.lit("")).alias("payload"), F.col(refers_to).cast("long").alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

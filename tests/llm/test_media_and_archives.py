@@ -93,3 +93,19 @@ def test_archives(spark, tmp_path):
     assert warc.read_archives(warc.write_archives(warc.with_revisits(df.limit(0).drop("refers_to"), "page_id", "html"))).count() == 0
     warc.save_archives(arch, str(tmp_path / "w"))
     assert sum(len(list(warc.frames(f.read_bytes()))) for f in (tmp_path / "w").glob("*.warc.zst")) == len(rows)
+
+
+def test_archives_bound_what_is_read(spark, tmp_path):
+    """A few rows of Parquet at a time; payloads are read once for their digests and once for the records."""
+    name, folder = "spark.sql.parquet.columnarReaderBatchSize", str(tmp_path / "pages")
+    spark.createDataFrame([(1, "http://a", "same"), (2, "http://b", "same"), (3, "http://c", None)], "page_id long, url string, html string").write.parquet(folder)
+    pages = spark.read.parquet(folder)
+    spark.conf.unset(name)
+    found = warc.with_revisits(pages, "page_id", "html")
+    assert int(spark.conf.get(name)) <= 512
+    spark.conf.unset(name)
+    warc.write_archives(found)
+    assert int(spark.conf.get(name)) <= 512
+    scans = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Relation" in x and "html" in x]
+    assert len(scans) == 1
+    assert sorted((r["page_id"], r["refers_to"]) for r in found.collect()) == [(1, 2), (2, None), (3, None)]
